@@ -37,6 +37,8 @@ def texts_of(batch: pa.RecordBatch | pa.Table, name: str = "text") -> pa.Array:
     col = column(batch, name)
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.string())
+    if col.offset:  # string kernels misread sliced arrays: copy what the slice shows
+        col = col.take(pa.array(np.arange(len(col))))
     return col.cast(pa.large_string()).fill_null("")
 
 
