@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import minhash, packing, wordpiece
+from lodestar.llm import minhash, packing, pii, warc, wordpiece
+from lodestar.llm.storage import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,20 @@ def op5_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = fresh_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), target)
+    read = warc.read_archive(spark, target)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op9_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), seq_len=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -37,13 +52,31 @@ def op9_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_neardup": op3_minhash_neardup,
     "op5_wordpiece_counts": op5_wordpiece_counts,
+    "op7_warc": op7_warc,
+    "op8_pii": op8_pii,
     "op9_ffd_packing": op9_ffd_packing,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
+_NIBBLES = "0000000100100011010001010110011110001001101010111100110111101111"
+_SHA1_BITS = f"array_to_string(list_transform(range(1, 41), lambda i: substr('{_NIBBLES}', 4 * strpos('0123456789abcdef', sha1(payload)[i]) - 3, 4)), '')"
+_BASE32 = (
+    "array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + "
+    + " + ".join(f"{16 >> k} * bits[5 * j + {k + 1}]::INT" for k in range(5))
+    + ", 1)), '')"
+)
+
 ORACLES: dict[str, str] = {
+    "op7_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+b AS (SELECT page_id, payload, {_SHA1_BITS} AS bits, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM b
+""",
     "op3_minhash_neardup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 sh AS (
