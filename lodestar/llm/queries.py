@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import minhash, packing, pii, warc, wordpiece
+from lodestar.llm import hmm, minhash, packing, pii, warc, wordpiece
 from lodestar.llm.storage import fresh_path
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7))
+    return hmm.score_documents(table(spark, sf_dir, "documents"), held_out=remainder == 2)
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return minhash.near_duplicates(docs, shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
@@ -50,6 +55,7 @@ def op9_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_hmm_lm": op2_hmm_lm,
     "op3_minhash_neardup": op3_minhash_neardup,
     "op5_wordpiece_counts": op5_wordpiece_counts,
     "op7_warc": op7_warc,
