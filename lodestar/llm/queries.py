@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import hmm, minhash, packing, pii, warc, wordpiece
+from lodestar.llm import decontam, hmm, minhash, packing, pii, warc, wordpiece
 from lodestar.llm.storage import fresh_path
 
 
@@ -25,6 +25,11 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shared", F.round("similarity", 9).alias("similarity"), "start_word")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -57,6 +62,7 @@ def op9_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hmm_lm": op2_hmm_lm,
     "op3_minhash_neardup": op3_minhash_neardup,
+    "op4_simhash_decontam": op4_simhash_decontam,
     "op5_wordpiece_counts": op5_wordpiece_counts,
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
@@ -66,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
+_NORMAL = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
 _NIBBLES = "0000000100100011010001010110011110001001101010111100110111101111"
 _SHA1_BITS = f"array_to_string(list_transform(range(1, 41), lambda i: substr('{_NIBBLES}', 4 * strpos('0123456789abcdef', sha1(payload)[i]) - 3, 4)), '')"
 _BASE32 = (
@@ -75,6 +83,23 @@ _BASE32 = (
 )
 
 ORACLES: dict[str, str] = {
+    "op4_simhash_decontam": f"""
+WITH i AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM (SELECT item_id, {_NORMAL} AS w FROM benchmark) WHERE len(w) > 0),
+d AS (SELECT doc_id, {_NORMAL} AS w FROM documents),
+ish AS (SELECT item_id, n, k, unnest(list_transform(range(0, n - k + 1), lambda p: struct_pack(p := p, s := array_to_string(w[p + 1:p + k], ' '))), recursive := true) FROM i),
+dsh AS (SELECT doc_id, k, unnest(list_transform(range(0, greatest(len(w) - k + 1, 0)), lambda p: struct_pack(p := p, s := array_to_string(w[p + 1:p + k], ' '))), recursive := true)
+        FROM d, (SELECT DISTINCT k FROM i)),
+seed AS (SELECT DISTINCT dsh.doc_id, ish.item_id, ish.n, ish.k, greatest(dsh.p - ish.p, 0) AS start FROM dsh JOIN ish USING (k, s)),
+inside AS (SELECT seed.doc_id, seed.item_id, seed.start, seed.n, seed.k, dsh.s, count(*) AS c
+           FROM seed JOIN dsh ON dsh.doc_id = seed.doc_id AND dsh.k = seed.k AND dsh.p BETWEEN seed.start AND seed.start + seed.n - seed.k
+           GROUP BY ALL),
+icount AS (SELECT item_id, s, count(*) AS c FROM ish GROUP BY ALL),
+sim AS (SELECT a.doc_id, a.item_id, a.start, sum(least(a.c, coalesce(b.c, 0)))::BIGINT AS shared, sum(a.c) + any_value(a.n - a.k + 1) AS both
+        FROM inside a LEFT JOIN icount b ON a.item_id = b.item_id AND a.s = b.s GROUP BY ALL)
+SELECT doc_id, item_id, shared, round(2.0 * shared / both, 9) AS similarity, start::BIGINT AS start_word
+FROM sim WHERE 200 * shared >= 80 * both
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / both DESC, start) = 1
+""",
     "op7_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 b AS (SELECT page_id, payload, {_SHA1_BITS} AS bits, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
