@@ -94,11 +94,11 @@ inside AS (SELECT seed.doc_id, seed.item_id, seed.start, seed.n, seed.k, dsh.s,
            FROM seed JOIN dsh ON dsh.doc_id = seed.doc_id AND dsh.k = seed.k AND dsh.p BETWEEN seed.start AND seed.start + seed.n - seed.k
            GROUP BY ALL),
 icount AS (SELECT item_id, s, count(*) AS c FROM ish GROUP BY ALL),
-sim AS (SELECT a.doc_id, a.item_id, a.start, sum(least(a.c, coalesce(b.c, 0)))::BIGINT AS shared, sum(a.c) + any_value(a.n - a.k + 1) AS both
+sim AS (SELECT a.doc_id, a.item_id, a.start, sum(least(a.c, coalesce(b.c, 0)))::BIGINT AS shared, sum(a.c) + any_value(a.n - a.k + 1) AS total
         FROM inside a LEFT JOIN icount b ON a.item_id = b.item_id AND a.s = b.s GROUP BY ALL)
-SELECT doc_id, item_id, shared, round(2.0 * shared / both, 9) AS similarity, start::BIGINT AS start_word
-FROM sim WHERE 200 * shared >= 80 * both
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / both DESC, start) = 1
+SELECT doc_id, item_id, shared, round(2.0 * shared / total, 9) AS similarity, start::BIGINT AS start_word
+FROM sim WHERE 200 * shared >= 80 * total
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / total DESC, start) = 1
 """,
     "op7_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
