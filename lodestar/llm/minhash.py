@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     return source.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, star_group: int = 256, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, star_group: int = 256, block: int = 1024) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked when ``100 * |intersection| >= percent * |union|`` of their shingle sets.
@@ -113,17 +113,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     centres = buckets.groupBy("key").agg(F.min(order).alias("m"), F.count("*").alias("n")).filter("n > 1")
     cand = materialize(buckets.join(centres.select("key", F.col("m.c").alias("centre")), "key").select("key", "doc_id", "centre"), "minhash-cand")
     pairs = cand.filter("doc_id <> centre").select("centre", "doc_id").distinct()
-    edges = materialize(_confirm_stars(docs, pairs, shingle, percent, star_group), "minhash-edges")
+    # texts of candidates only are read again; one plan at every size, as a broadcast of ids would not scale
+    wanted = cand.select("doc_id").distinct()
+    texts = materialize(docs.join(wanted.hint("merge"), "doc_id"), "minhash-texts")
+    edges = materialize(_confirm_stars(texts, pairs, shingle, percent, star_group), "minhash-edges")
     comp = materialize(connected_components(edges), "minhash-comp")
     rest = _unresolved(cand, comp)
     rest = materialize(rest, "minhash-rest")
     if not is_empty(rest):
-        more = materialize(_confirm_blocks(docs, rest, shingle, percent, block), "minhash-more")
+        more = materialize(_confirm_blocks(texts, rest, shingle, percent, block), "minhash-more")
         both = edges.unionByName(more)
         again = materialize(connected_components(both), "minhash-comp")
         discard(comp, more)
         comp = again
-    discard(cand, edges, rest)
+    discard(cand, edges, rest, texts)
     joined = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     final = materialize(joined.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id")), "minhash-final")
     discard(comp)
@@ -139,7 +142,7 @@ def _confirm_stars(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int
     salts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"))
     salted = pairs.join(salts, "centre").select("doc_id", "centre", F.pmod(F.xxhash64("doc_id", F.lit(7)), "salts").cast("int").alias("salt"), F.lit(False).alias("hub"))
     hubs = salted.select(F.col("centre").alias("doc_id"), "centre", "salt", F.lit(True).alias("hub")).distinct()
-    held = docs.filter("doc_id IS NOT NULL").join(salted.unionByName(hubs), "doc_id")
+    held = docs.join(salted.unionByName(hubs), "doc_id")
 
     def check(table: pa.Table) -> pa.Table:
         sets = shingles_of(words_of(texts_of(table)), shingle)
@@ -160,65 +163,75 @@ def _confirm_stars(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int
 
 
 def _unresolved(cand: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, doc_id) of buckets whose members besides the centre lie in several components, one bucket of each
-    set of members."""
+    """(key, doc_id, component, n) of buckets whose members besides the centre lie in several components, one
+    bucket of each set of members."""
     at = cand.filter("doc_id <> centre").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = at.groupBy("key").agg(
         F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s")
     ).filter("a < b")
     one = mixed.groupBy("n", "s").agg(F.min("key").alias("key")).select("key", "n")
-    return cand.filter("doc_id <> centre").select("key", "doc_id").join(one, "key")
+    return at.join(one, "key")
 
 
 def _confirm_blocks(docs: DataFrame, rest: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
-    """Spanning edges of all links inside each bucket: blocks of about ``block`` members are compared pairwise."""
+    """Edges for all links between different components inside each bucket: blocks of about ``block`` members are
+    compared pairwise, and each finds a spanning set of its links."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
     mine = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(11)), "blocks").cast("int"))
-    dealt = mine.select("key", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "doc_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    held = docs.filter("doc_id IS NOT NULL").join(dealt, "doc_id")
+    dealt = mine.select("key", "doc_id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "doc_id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    held = docs.join(dealt, "doc_id")
 
     def check(table: pa.Table) -> pa.Table:
         ids, first = np.unique(np.asarray(column(table, "doc_id")), return_index=True)
+        comp, group, size = np.unique(np.asarray(column(table, "component"))[first], return_inverse=True, return_counts=True)
         sets = shingles_of(words_of(texts_of(table.take(pa.array(first)))), shingle)
         n = np.array([len(s) for s in sets], np.int64)
-        shared = intersections(sets)
-        linked = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
-        label = spanning_labels(linked)
-        at = np.flatnonzero(label != np.arange(len(ids)))
-        return pa.table({"src": pa.array(ids[label[at]], pa.int64()), "dst": pa.array(ids[at], pa.int64())})
+        # pairs inside a component are joined already: members of the largest need no comparison of their own
+        few = np.flatnonzero(group != size.argmax())
+        shared = intersections(sets, few)
+        linked = (100 * shared >= percent * (n[few, None] + n[None, :] - shared)) & (group[few, None] != group[None, :])
+        src, dst = spanning_edges(few, *np.nonzero(linked), group)
+        return pa.table({"src": pa.array(ids[src], pa.int64()), "dst": pa.array(ids[dst], pa.int64())})
 
-    return held.select("doc_id", "text", "key", "i", "j").groupBy("key", "i", "j").applyInArrow(check, "src long, dst long")
+    return held.select("doc_id", "text", "component", "key", "i", "j").groupBy("key", "i", "j").applyInArrow(check, "src long, dst long")
 
 
-def intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of all intersections, by products of incidence columns ``width`` at a time."""
+def intersections(sets: list[np.ndarray], rows: np.ndarray, width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``rows`` with all sets, by products of incidence columns
+    ``width`` at a time."""
+    out = np.zeros((len(rows), len(sets)), np.float64)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.diag([len(s) for s in sets]).astype(np.float64)
-    wide = count[code] > 1
-    owner, code = owner[wide], np.cumsum(count > 1)[code[wide]] - 1
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    wanted = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+    wanted[code[np.isin(owner, rows)]] = True
+    wide = wanted[code]
+    owner, code = owner[wide], (np.cumsum(wanted) - 1)[code[wide]]
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
-    off = np.zeros((len(sets), len(sets)))
     for a in range(0, int(code[-1]) + 1 if len(code) else 0, width):
         lo, hi = np.searchsorted(code, (a, a + width))
         x = np.zeros((len(sets), width), np.float32)
         x[owner[lo:hi], code[lo:hi] - a] = 1
-        off += x @ x.T
-    np.fill_diagonal(off, 0)
-    return (shared + off).astype(np.int64)
-
-
-def spanning_labels(linked: np.ndarray) -> np.ndarray:
-    """For each row the smallest row that a symmetric link matrix reaches from it."""
-    n = len(linked)
-    linked = linked | linked.T
-    np.fill_diagonal(linked, True)
-    label = np.arange(n)
-    while True:
-        nxt = np.where(linked, label[None, :], n).min(axis=1) if n else label
-        nxt = np.minimum(nxt, nxt[nxt]) if n else nxt
-        if (nxt == label).all():
-            return label
-        label = nxt
+        out += x[rows] @ x.T
+    return np.rint(out).astype(np.int64)
+
+
+def spanning_edges(rows: np.ndarray, at: np.ndarray, other: np.ndarray, group: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of the links (rows[at], other), as many as join groups that are not joined yet."""
+    root = list(range(int(group.max()) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    src, dst = [], []
+    for a, b in zip(rows[at].tolist(), other.tolist(), strict=True):
+        x, y = find(int(group[a])), find(int(group[b]))
+        if x != y:
+            root[x] = y
+            src.append(a)
+            dst.append(b)
+    return src, dst
