@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontam, hmm, minhash, packing, pii, warc, wordpiece
+from lodestar.llm import decontam, hmm, minhash, packing, pii, pstable, suffix, warc, wordpiece
 from lodestar.llm.storage import fresh_path
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pstable_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op2_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7))
     return hmm.score_documents(table(spark, sf_dir, "documents"), held_out=remainder == 2)
@@ -40,6 +44,10 @@ def op5_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = fresh_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), target)
@@ -60,10 +68,12 @@ def op9_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pstable_neardup": op1_pstable_neardup,
     "op2_hmm_lm": op2_hmm_lm,
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_simhash_decontam": op4_simhash_decontam,
     "op5_wordpiece_counts": op5_wordpiece_counts,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_ffd_packing": op9_ffd_packing,
@@ -83,6 +93,17 @@ _BASE32 = (
 )
 
 ORACLES: dict[str, str] = {
+    "op1_pstable_neardup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+         ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, link.y FROM reach r JOIN link ON r.y = link.x)
+SELECT e.vec_id, (SELECT count(*) FROM link WHERE x = e.vec_id)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = e.vec_id
+""",
     "op4_simhash_decontam": f"""
 WITH i AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM (SELECT item_id, {_NORMAL} AS w FROM benchmark) WHERE len(w) > 0),
 d AS (SELECT doc_id, {_NORMAL} AS w FROM documents),
