@@ -235,3 +235,19 @@ def spanning_edges(rows: np.ndarray, at: np.ndarray, other: np.ndarray, group: n
             src.append(a)
             dst.append(b)
     return src, dst
+
+
+def deduplicate(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows whose document is not the smallest id of its component; all columns stay.
+
+    Only the ids that go are joined, so that rows with a null doc_id stay. Of rows that repeat one doc_id, one row
+    of each text stays.
+    """
+    found = near_duplicates(docs, **options)
+    counts = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.col("kept")).alias("kept"))
+    gone = materialize(counts.filter("NOT kept").select(F.col("doc_id").alias("gone_id")), "minhash-gone")
+    out = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    if is_empty(counts.filter("rows > 1")):
+        return out
+    once = out.filter("doc_id IS NOT NULL").withColumn("_text_hash", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    return once.unionByName(out.filter("doc_id IS NULL"))

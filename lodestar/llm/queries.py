@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontam, hmm, minhash, packing, pii, pstable, suffix, warc, wordpiece
+from lodestar.llm import decontam, hmm, kneser_ney, minhash, packing, pii, pstable, suffix, warc, wordpiece
 from lodestar.llm.storage import fresh_path
 
 
@@ -67,6 +67,11 @@ def op9_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "n_tokens", "log10_prob", "perplexity", "threshold", "keep")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pstable_neardup": op1_pstable_neardup,
     "op2_hmm_lm": op2_hmm_lm,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_ffd_packing": op9_ffd_packing,
+    "op10_kneser_ney_quality": op10_kneser_ney_quality,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
