@@ -70,8 +70,8 @@ class Planner:
         parts = []
         for r in rules:
             start = Step(inputs.select(F.struct("*").alias("input")) if inputs is not None else spark.range(1).select())
-            step = self.body(r.body, start, r)
-            parts.append(step.df.select(*self.head(r, step)))
+            columns, step = self.head(r, self.body(r.body, start, r))
+            parts.append(step.df.select(*columns))
         rows = reduce(lambda a, b: a.unionByName(b), parts).distinct()
         if rules[0].kind != "object":
             return rows
@@ -110,16 +110,24 @@ class Planner:
         return out.select(*[inputs[c] for c in inputs.columns], F.coalesce("_decision", default).alias(name))
 
     # -- heads
-    def head(self, r: Rule, step: Step) -> list[Column]:
+    def head(self, r: Rule, step: Step) -> tuple[list[Column], Step]:
+        """The head's columns, and the step with the tables that they look up."""
         if r.kind == "set":
             term = r.keys[-1]
             if isinstance(term, Collection) and term.kind == "object":
-                return [self.term(v, step, r)[0].alias(k.value) for k, v in term.items]
-            if isinstance(term, Collection) and term.kind == "array":
-                return [self.term(v, step, r)[0].alias(f"_{i}") for i, v in enumerate(term.items, 1)]
-            return [self.term(term, step, r)[0].alias("value")]
-        names = ["key"] if len(r.keys) == 1 else [f"key{i}" for i in range(1, len(r.keys) + 1)]
-        return [self.term(k, step, r)[0].alias(n) for k, n in zip(r.keys, names, strict=True)] + [self.term(r.value, step, r)[0].alias("value")]
+                named = [(k.value, v) for k, v in term.items]
+            elif isinstance(term, Collection) and term.kind == "array":
+                named = [(f"_{i}", v) for i, v in enumerate(term.items, 1)]
+            else:
+                named = [("value", term)]
+        else:
+            keys = ["key"] if len(r.keys) == 1 else [f"key{i}" for i in range(1, len(r.keys) + 1)]
+            named = [*zip(keys, r.keys, strict=True), ("value", r.value)]
+        out = []
+        for name, v in named:
+            column, step = self.term(v, step, r)
+            out.append(column.alias(name))
+        return out, step
 
     # -- bodies
     def body(self, body: tuple, step: Step, r: Rule) -> Step:
