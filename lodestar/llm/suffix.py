@@ -8,11 +8,10 @@ names at growing lengths go out to be counted over the corpus only until they ar
 1. Sampling. ``p(s)`` is the place of the smallest 32-byte name in the window that begins at start s. It depends
    on the text after s alone, so equal strings have it in the same place. Starts with the same p(s) are a
    segment of at most ``window`` starts.
-2. Names of half the length at each p(s), and of the full length at the last start of each segment, are counted
-   (shard by shard, one entry for each chunk and name: copies and common passages make no hot key). A segment
-   whose half name is unique holds no repeated start: it drops out. A segment between two repeated full names is
-   covered by them.
-3. For segments that remain, and all segments of the same half name, every start's full name is counted.
+2. Names of half the length at each p(s), and of the full length at the last start of each segment, are sorted and
+   ranked by range of names ("shards" of bounded size); a unique name has rank 0. A segment whose half name is
+   unique holds no repeated start: it drops out. A segment between two repeated full names is covered by them.
+3. For segments that remain, and all segments whose half name has the same rank, every start's full name is ranked.
 
 The strings so found are exactly the repeated ones, up to collisions of 64-bit names (about n*n / 2**65).
 """
@@ -68,9 +67,8 @@ class Names:
 def window_minima(h: np.ndarray, window: int) -> np.ndarray:
     """For each start the place of the smallest name in [start, start + window); the first place in a tie."""
     n = len(h)
-    value = (h >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
     padded = np.full(-(-(n + window) // window) * window, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[:n] = value
+    padded[:n] = (h >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
     rows = padded.reshape(-1, window)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -101,30 +99,97 @@ def segments(data: np.ndarray, sizes: np.ndarray, length: int, window: int) -> t
     return names, tests, p[tests], first[tests]
 
 
-def _own(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, count = np.unique(keys, return_counts=True)
-    return distinct, np.minimum(count, 2).astype(np.uint32)
+def by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, list[int]]:
+    """(order, cuts): items of shard i are order[cuts[i]:cuts[i + 1]], in their own order."""
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
 
 
-def _ask(table: DataFrame, columns: list[str], make, shards: int, least: int, label: str) -> DataFrame:
-    """For each chunk's keys (``make(row)`` gives them, sorted, with counts) whether the corpus total is ``least``
-    or more: rows (chunk, shard, n, answer bits)."""
-    arrow = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("answer", pa.binary())])
+def once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, again, twice): which keys are the first of their kind, for the others the place of the first one, and
+    for the first ones whether others follow. A chunk sends a name once, however often it holds it."""
+    _, index, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    first = np.zeros(len(keys), bool)
+    first[index] = True
+    return first, index[inverse[~first]].astype(np.uint32), count[inverse[first]] > 1
 
-    def count(t: pa.Table) -> pa.Table:
-        _, total, places = ck.merge_counts(t)
-        bits = [np.packbits(total[p] >= least).tobytes() for p in places]
-        return pa.table([t.column("chunk"), t.column("shard"), t.column("n"), pa.array(bits, pa.binary())], schema=arrow)
 
-    asked = ck.requests(table, shards, columns, make).filter("n > 0")
-    return materialize(asked.groupBy("shard").applyInArrow(count, ck.ANSWER), label)
+def _send(table: DataFrame, column: str, shards: int) -> DataFrame:
+    """Rows (chunk, shard, n, keys, twice) of each chunk's distinct keys, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys = _u64(row[column])
+                first, _, twice = once(keys)
+                keys = keys[first]
+                order, cuts = by_shard(shard_numbers(keys, shards), shards)
+                keys, twice = keys[order], twice[order]
+                out = [
+                    {"chunk": row["chunk"], "shard": s, "n": b - a, "keys": keys[a:b].tobytes(), "twice": np.packbits(twice[a:b]).tobytes()}
+                    for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
+                    if b > a
+                ]
+                yield pa.RecordBatch.from_pylist(out, schema=_REQUEST)
+
+    return table.select("chunk", column).mapInArrow(run, _REQUEST_DDL)
+
+
+def places(keys: np.ndarray, shards: int) -> dict:
+    """What a chunk keeps to read its answers: each distinct key's shard, and where the others' first ones are."""
+    first, again, _ = once(keys)
+    return {"shard": ck.pack(shard_numbers(keys[first], shards)), "first_of": np.packbits(first).tobytes(), "again": ck.pack(again), "n_again": len(again)}
+
+
+def _all_ranks(right: pa.Table, row: dict, n: int, width) -> np.ndarray:
+    """The rank of each of a chunk's n keys, from ``places`` and the answers."""
+    first = np.unpackbits(np.frombuffer(row["first_of"], np.uint8), count=n).astype(bool)
+    out = np.zeros(n, np.uint32)
+    out[first] = _answers(right, ck.unpack(row["shard"], width, n - row["n_again"]))
+    out[~first] = out[ck.unpack(row["again"], np.uint32, row["n_again"])]
+    return out
+
+
+_REQUEST = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
+_REQUEST_DDL = "chunk long, shard long, n long, keys binary, twice binary"
+_PLACES = [("shard", pa.binary()), ("first_of", pa.binary()), ("again", pa.binary()), ("n_again", pa.int64())]
+_PLACES_DDL = "shard binary, first_of binary, again binary, n_again long"
+_ANSWER = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("answer", pa.binary())])
 
 
-def _bits(right: pa.Table) -> np.ndarray:
-    """One chunk's answers in key order."""
+def shard_numbers(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ck.shard_of(keys, shards).astype(np.uint16 if shards < 1 << 16 else np.uint32)
+
+
+def _rank(asked: DataFrame, label: str) -> DataFrame:
+    """For each request the rank of each key among the shard's repeated names, from 1; 0 for unique ones."""
+
+    def rank(t: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in t.column("keys").to_pylist()])
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.append(True, ordered[1:] != ordered[:-1])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(keys)))
+        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(t.column("twice").to_pylist(), t.column("n").to_pylist(), strict=True)])
+        often = (size > 1) | (np.maximum.reduceat(twice[order], begin) > 0)
+        repeated = np.cumsum(often) * often
+        ranks = np.empty(len(keys), np.uint32)
+        ranks[order] = np.repeat(repeated, size)
+        ends = np.cumsum(t.column("n").to_pylist()).tolist()
+        packed = [ck.pack(ranks[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return pa.table([t.column("chunk"), t.column("shard"), t.column("n"), pa.array(packed, pa.binary())], schema=_ANSWER)
+
+    return materialize(asked.groupBy("shard").applyInArrow(rank, ck.ANSWER), label)
+
+
+def _answers(right: pa.Table, shard: np.ndarray) -> np.ndarray:
+    """One chunk's ranks in the order of its keys, whose shards are given."""
+    out = np.zeros(len(shard), np.uint32)
     rows = sorted(zip(right.column("shard").to_pylist(), right.column("n").to_pylist(), right.column("answer").to_pylist(), strict=True))
-    parts = [np.unpackbits(np.frombuffer(a, np.uint8), count=n).astype(bool) for _, n, a in rows]
-    return np.concatenate(parts) if parts else np.zeros(0, bool)
+    if rows:
+        out[np.argsort(shard, kind="stable")] = np.concatenate([ck.unpack(a, np.uint32, n) for _, n, a in rows])
+    return out
 
 
 def _u64(data: bytes) -> np.ndarray:
@@ -163,7 +228,7 @@ def _rows(schema: pa.Schema, rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 4 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 2 << 20, with_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, the remaining bytes).
 
     Every whole text counts as UTF-8 bytes; strings never cross documents and overlapping occurrences count. Null
@@ -175,59 +240,102 @@ def remove_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 4 << 2
     if length < 4 * GRAM:
         raise ValueError(f"length must be at least {4 * GRAM}")
     texts = chunk_texts(docs, chunk_bytes)
-    tested = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("tests", pa.binary()), ("first", pa.binary()), ("halves", pa.binary()), ("wholes", pa.binary())])
+    tested = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("tests", pa.binary()), ("first", pa.binary()), ("names", pa.binary())])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 data, sizes = _text(row)
                 names, tests, places, first = segments(data, sizes, length, window)
-                out = {"chunk": row["chunk"], "n": len(tests), "tests": ck.pack(np.diff(tests, prepend=0)), "first": first.tobytes(), "halves": names.at(places, half).tobytes(), "wholes": names.at(tests, length).tobytes()}
+                both = np.concatenate((names.at(places, half), names.at(tests, length)))
+                out = {"chunk": row["chunk"], "n": len(tests), "tests": ck.pack(np.diff(tests, prepend=0)), "first": np.packbits(first).tobytes(), "names": both.tobytes()}
                 yield pa.RecordBatch.from_pylist([out], schema=tested)
 
-    sampled = materialize(texts.mapInArrow(sample, "chunk long, n long, tests binary, first binary, halves binary, wholes binary"), "suffix-tests")
+    sampled = materialize(texts.mapInArrow(sample, "chunk long, n long, tests binary, first binary, names binary"), "suffix-tests")
     total = sampled.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-2 * total // ck.SHARD_KEYS))
-    first_answers = _ask(sampled, ["halves", "wholes"], lambda r: _own(np.concatenate((_u64(r["halves"]), _u64(r["wholes"])))), shards, 2, "suffix-a")
-    judged = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("tests", pa.binary()), ("first", pa.binary()), ("halves", pa.binary()), ("open", pa.binary()), ("repeated", pa.binary()), ("need", pa.binary())])
+    width = np.uint16 if shards < 1 << 16 else np.uint32
+    ranks = _rank(_send(sampled, "names", shards), "suffix-a")
+    # what meets the answers is each name's shard, not the name
+    shown = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("tests", pa.binary()), ("first", pa.binary()), *_PLACES])
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("chunk", "n", "tests", "first")} | places(_u64(row["names"]), shards)], schema=shown)
+
+    judged = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("tests", pa.binary()), ("first", pa.binary()), ("m", pa.int64()), ("at", pa.binary()), ("shard", pa.binary()), ("rank", pa.binary()), ("need", pa.binary()), ("repeated", pa.binary())])
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Tests whose half name is repeated (``at``), its shard and rank, and which of them need their starts counted."""
         out = []
         for row in left.to_pylist():
-            halves, wholes, first = _u64(row["halves"]), _u64(row["wholes"]), _flags(row["first"])
-            keys = np.unique(np.concatenate((halves, wholes)))
-            bits = _bits(right)
-            open_, repeated = bits[np.searchsorted(keys, halves)], bits[np.searchsorted(keys, wholes)]
-            before = np.append(False, repeated[:-1]) | first  # a document's first start has nothing before it
-            out.append({k: row[k] for k in ("chunk", "n", "tests", "first")} | {"halves": halves[open_].tobytes(), "open": open_.tobytes(), "repeated": repeated.tobytes(), "need": (open_ & ~(before & repeated))[open_].tobytes()})
+            n = row["n"]
+            rank = _all_ranks(right, row, 2 * n, width)
+            own = np.unpackbits(np.frombuffer(row["first_of"], np.uint8), count=2 * n).astype(bool)
+            shard = np.zeros(2 * n, width)
+            shard[own] = ck.unpack(row["shard"], width, 2 * n - row["n_again"])
+            shard[~own] = shard[ck.unpack(row["again"], np.uint32, row["n_again"])]
+            first = np.unpackbits(np.frombuffer(row["first"], np.uint8), count=n).astype(bool)
+            repeated = rank[n:] > 0
+            before = np.append(False, repeated[:-1])[:n] & ~first  # a document's first start has nothing before it
+            at = np.flatnonzero(rank[:n])
+            out.append(
+                {k: row[k] for k in ("chunk", "n", "tests", "first")}
+                | {"m": len(at), "at": ck.pack(np.diff(at, prepend=0)), "shard": ck.pack(shard[at]), "rank": ck.pack(rank[at]), "need": (~(before & repeated))[at].tobytes(), "repeated": np.packbits(repeated).tobytes()}
+            )
         return _rows(judged, out)
 
-    state = materialize(
-        sampled.groupBy("chunk").cogroup(first_answers.groupBy("chunk")).applyInArrow(judge, "chunk long, n long, tests binary, first binary, halves binary, open binary, repeated binary, need binary"), "suffix-state"
-    )
-    discard(sampled, first_answers)
+    ddl = "chunk long, n long, tests binary, first binary"
+    left = sampled.mapInArrow(show, f"{ddl}, {_PLACES_DDL}")
+    state = materialize(left.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(judge, f"{ddl}, m long, at binary, shard binary, rank binary, need binary, repeated binary"), "suffix-state")
+    discard(sampled, ranks)
 
-    def wanted(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        keys, place = np.unique(_u64(row["halves"]), return_inverse=True)
-        need = np.zeros(len(keys), np.uint32)
-        need[place[_flags(row["need"])]] = 1
-        return keys, need
-
-    marks = _ask(state, ["halves", "need"], wanted, shards, 1, "suffix-b")
+    def want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each shard's ranks of a chunk, twice the rank plus whether a start must be counted."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard, rank = ck.unpack(row["shard"], width, row["m"]), ck.unpack(row["rank"], np.uint32, row["m"])
+                need = _flags(row["need"])
+                # a rank goes out once: with a need if any of its tests has one
+                kind = shard.astype(np.uint64) << np.uint64(32) | rank
+                _, place = np.unique(kind, return_inverse=True)
+                any_need = np.zeros(int(place.max()) + 1 if len(place) else 0, bool)
+                any_need[place[need]] = True
+                first, _, _ = once(kind)
+                order, cuts = by_shard(shard[first], shards)
+                value = (rank.astype(np.uint64) << np.uint64(1) | any_need[place])[first][order]
+                out = [{"chunk": row["chunk"], "shard": s, "n": b - a, "keys": ck.pack(value[a:b]), "twice": b""} for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                yield pa.RecordBatch.from_pylist(out, schema=_REQUEST)
+
+    def mark(t: pa.Table) -> pa.Table:
+        values = [ck.unpack(k, np.uint64, n) for k, n in zip(t.column("keys").to_pylist(), t.column("n").to_pylist(), strict=True)]
+        needed = np.zeros(max(int(v.max() >> np.uint64(1)) for v in values) + 1, np.uint32)
+        for v in values:
+            needed[(v[(v & np.uint64(1)) == 1] >> np.uint64(1)).astype(np.int64)] = 1
+        return pa.table([t.column("chunk"), t.column("shard"), t.column("n"), pa.array([ck.pack(needed[(v >> np.uint64(1)).astype(np.int64)]) for v in values], pa.binary())], schema=_ANSWER)
+
+    asked = state.select("chunk", "m", "shard", "rank", "need").mapInArrow(want, _REQUEST_DDL)
+    marks = materialize(asked.groupBy("shard").applyInArrow(mark, ck.ANSWER), "suffix-b")
     planned = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("lo", pa.binary()), ("hi", pa.binary()), ("m", pa.int64()), ("found", pa.binary())])
 
     def plan(left: pa.Table, right: pa.Table) -> pa.Table:
         """Start ranges [lo, hi] to count, and tests already known to repeat."""
         out = []
         for row in left.to_pylist():
-            tests, first = np.cumsum(ck.unpack(row["tests"], np.int64, row["n"])), _flags(row["first"])
-            halves, open_, repeated = _u64(row["halves"]), _flags(row["open"]), _flags(row["repeated"])
-            bits = _bits(right)
-            marked = np.zeros(row["n"], bool)
-            marked[open_] = bits[np.searchsorted(np.unique(halves), halves)] if len(halves) else False
-            lo = np.where(first, tests, np.append(0, tests[:-1]) + 1)[marked]
+            n = row["n"]
+            tests = np.cumsum(ck.unpack(row["tests"], np.int64, n))
+            first, repeated = (np.unpackbits(np.frombuffer(row[k], np.uint8), count=n).astype(bool) for k in ("first", "repeated"))
+            at = np.cumsum(ck.unpack(row["at"], np.int64, row["m"]))
+            shard, rank = ck.unpack(row["shard"], width, row["m"]), ck.unpack(row["rank"], np.uint32, row["m"])
+            first_of, again, _ = once(shard.astype(np.uint64) << np.uint64(32) | rank)
+            needed = np.zeros(row["m"], np.uint32)
+            needed[first_of] = _answers(right, shard[first_of])
+            needed[~first_of] = needed[again]
+            marked = at[needed > 0]
+            lo = np.where(first, tests, np.append(0, tests[:-1])[:n] + 1)[marked]
             hi, found = tests[marked], tests[repeated]
-            out.append({"chunk": row["chunk"], "n": len(lo), "lo": ck.pack(lo), "hi": ck.pack(hi), "m": len(found), "found": ck.pack(found)})
+            out.append({"chunk": row["chunk"], "n": len(lo), "lo": ck.pack(np.diff(lo, prepend=0)), "hi": ck.pack(hi - lo), "m": len(found), "found": ck.pack(np.diff(found, prepend=0))})
         return _rows(planned, out)
 
     plans = materialize(state.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(plan, "chunk long, n long, lo binary, hi binary, m long, found binary"), "suffix-plan")
@@ -238,36 +346,43 @@ def remove_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 4 << 2
         out = []
         todo = {r["chunk"]: r for r in right.to_pylist()}
         for row in left.to_pylist():
-            r = todo[row["chunk"]]
-            lo, hi = ck.unpack(r["lo"], np.int64, r["n"]), ck.unpack(r["hi"], np.int64, r["n"])
-            if not len(lo):
+            r = todo.get(row["chunk"])
+            if r is None:
                 continue
-            data, _ = _text(row)
-            size = hi - lo + 1
+            lo = np.cumsum(ck.unpack(r["lo"], np.int64, r["n"]))
+            size = ck.unpack(r["hi"], np.int64, r["n"]) + 1
             starts = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            data, _ = _text(row)
             keys = Names(data, length).at(starts, length)
             out.append({"chunk": row["chunk"], "n": len(starts), "starts": ck.pack(np.diff(starts, prepend=0)), "keys": keys.tobytes()})
         return _rows(counted, out)
 
-    open_plans = plans.filter("n > 0")
-    some = texts.join(open_plans.select("chunk").hint("merge"), "chunk", "left_semi")
-    expanded = materialize(some.groupBy("chunk").cogroup(open_plans.groupBy("chunk")).applyInArrow(expand, "chunk long, n long, starts binary, keys binary"), "suffix-starts")
+    expanded = materialize(texts.groupBy("chunk").cogroup(plans.filter("n > 0").groupBy("chunk")).applyInArrow(expand, "chunk long, n long, starts binary, keys binary"), "suffix-starts")
     total = expanded.agg(F.sum("n")).first()[0] or 0
-    last_answers = _ask(expanded, ["keys"], lambda r: _own(_u64(r["keys"])), max(1, -(-total // ck.SHARD_KEYS)), 2, "suffix-c")
+    last = max(1, -(-total // ck.SHARD_KEYS))
+    last_width = np.uint16 if last < 1 << 16 else np.uint32
+    ranks = _rank(_send(expanded, "keys", last), "suffix-c")
+    placed = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("starts", pa.binary()), *_PLACES])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("chunk", "n", "starts")} | places(_u64(row["keys"]), last)], schema=placed)
+
     hits = pa.schema([("chunk", pa.int64()), ("m", pa.int64()), ("found", pa.binary())])
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            keys = _u64(row["keys"])
             starts = np.cumsum(ck.unpack(row["starts"], np.int64, row["n"]))
-            found = starts[_bits(right)[np.searchsorted(np.unique(keys), keys)]]
-            out.append({"chunk": row["chunk"], "m": len(found), "found": ck.pack(found)})
+            found = starts[_all_ranks(right, row, row["n"], last_width) > 0]
+            out.append({"chunk": row["chunk"], "m": len(found), "found": ck.pack(np.diff(found, prepend=0))})
         return _rows(hits, out)
 
-    settled = expanded.groupBy("chunk").cogroup(last_answers.groupBy("chunk")).applyInArrow(settle, "chunk long, m long, found binary")
+    left = expanded.mapInArrow(place, f"chunk long, n long, starts binary, {_PLACES_DDL}")
+    settled = left.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(settle, "chunk long, m long, found binary")
     found = materialize(settled.unionByName(plans.select("chunk", "m", "found")).filter("m > 0"), "suffix-found")
-    discard(expanded, last_answers, plans)
+    discard(expanded, ranks, plans)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     final = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", span)] + [("kept", pa.binary())] * with_text
 
@@ -277,7 +392,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 4 << 2
             data, sizes = _text(row)
             edge = np.zeros(len(data) + 1, np.int32)
             for r in right.to_pylist():
-                at = ck.unpack(r["found"], np.int64, r["m"])
+                at = np.cumsum(ck.unpack(r["found"], np.int64, r["m"]))
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + length, -1)
             gone = np.cumsum(edge[:-1]) > 0
