@@ -33,11 +33,17 @@ class Table:
 
 @dataclass(frozen=True)
 class Step:
+    """``kinds``: types of variables that stand for array elements inside an expression."""
+
     df: DataFrame
     env: Mapping[str, Column] = field(default_factory=dict)
+    kinds: Mapping[str, T.DataType] = field(default_factory=dict)
+
+    def bind(self, name: str, value: Column, kind: T.DataType | None = None) -> Step:
+        return replace(self, env={**self.env, name: value}, kinds={**self.kinds, name: kind} if kind else self.kinds)
 
-    def bind(self, name: str, value: Column) -> Step:
-        return replace(self, env={**self.env, name: value})
+    def kind_of(self, column: Column) -> T.DataType:
+        return self.df.select(column).schema[0].dataType
 
 
 def _holds(cond: Column) -> Column:
@@ -160,7 +166,8 @@ class Planner:
                 bad = ~_holds(self.condition(lit.body, inner, r))
                 return replace(step, df=step.df.join(frame.frame.select(F.struct("*").alias(alias)), bad, "left_anti"))
             xs, step = self.term(coll, step, r)
-            holds = F.forall(xs, lambda x: _holds(self.condition(lit.body, step.bind(value.name, x), r)))
+            element = step.kind_of(xs).elementType
+            holds = F.forall(xs, lambda x: _holds(self.condition(lit.body, step.bind(value.name, x, element), r)))
             return replace(step, df=step.df.filter(holds))
         term = lit.terms[0]
         if isinstance(term, Call) and term.name == "internal.member_2" and (frame := self.frame(term.args[1], r)) is not None:
@@ -171,8 +178,7 @@ class Planner:
         return replace(step, df=step.df.filter(self.truthy(cond, step)))
 
     def truthy(self, cond: Column, step: Step) -> Column:
-        kind = step.df.select(cond).schema[0].dataType
-        return cond if isinstance(kind, T.BooleanType) else cond.isNotNull()
+        return cond if isinstance(step.kind_of(cond), T.BooleanType) else cond.isNotNull()
 
     def condition(self, body: tuple, step: Step, r: Rule) -> Column:
         """A body without iteration as one boolean column."""
@@ -226,7 +232,7 @@ class Planner:
         else:
             xs, step = self.term(coll, step, r)
         a, b = self.fresh(), self.fresh()
-        kind = step.df.select(xs).schema[0].dataType
+        kind = step.kind_of(xs)
         if isinstance(kind, T.MapType):
             df = step.df.select("*", F.explode(xs).alias(a, b))
         elif isinstance(kind, T.ArrayType):
@@ -356,7 +362,8 @@ class Planner:
                 return args[0].isin([x.value for x in term.args[1].items])
             return F.array_contains(args[1], args[0])
         if term.name == "count":
-            kind = step.df.select(args[0]).schema[0].dataType
+            of = term.args[0]
+            kind = step.kinds[of.name] if isinstance(of, Var) and of.name in step.kinds else step.kind_of(args[0])
             return F.length(args[0]) if isinstance(kind, T.StringType) else F.size(args[0])
         if term.name == "sprintf":
             from lodestar.functions.scalar import sprintf
@@ -397,9 +404,10 @@ class Planner:
             raise FragmentError("a planned comprehension iterates one array first")
         key, value, coll = first.terms
         xs = self.term(coll, step, r)[0]
+        element = None if isinstance(coll, Var) and coll.name in step.kinds else step.kind_of(xs).elementType
 
         def inner(x: Column, i: Column) -> Step:
-            s = step.bind(value.name, x)
+            s = step.bind(value.name, x, element)
             s = s.bind(key.name, i) if isinstance(key, Var) else s
             for lit in rest:
                 if lit.kind == "assign" and isinstance(lit.terms[0], Var):

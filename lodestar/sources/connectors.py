@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -144,13 +144,6 @@ def okta_documents(client: Mapping[str, Callable], wanted: Sequence[str] = ("use
     return out
 
 
-@dataclass
-class Slice(InputPartition):
-    number: int = 0
-    total: int = 1
-    extra: dict = field(default_factory=dict)
-
-
 class ClientSource(DataSource):
     """A batch source over a client that every executor can build: ``option("client", "module:function")``.
 
@@ -177,12 +170,11 @@ class _ClientReader(DataSourceReader):
         module, _, name = self.options["client"].partition(":")
         return getattr(importlib.import_module(module), name)(self.options)
 
-    def partitions(self) -> list[Slice]:
-        n = self._client().slices()
-        return [Slice(None, i, n) for i in range(n)]
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(i) for i in range(self._client().slices())]
 
-    def read(self, partition: Slice):
-        yield from self._client().rows(partition.number)
+    def read(self, partition: InputPartition):
+        yield from self._client().rows(partition.value)
 
 
 def kafka_stream(spark: SparkSession, servers: str, topics: Sequence[str], start: str = "earliest", options: Mapping[str, str] | None = None) -> DataFrame:
