@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.lineage import cut
+
 RBAC = """
 package rbac
 
@@ -24,9 +26,12 @@ allow if {
 def rbac_decisions(requests: DataFrame, user_roles: DataFrame, role_permissions: DataFrame, name: str = "allow") -> DataFrame:
     """requests (user, action, resource, ...) with a boolean: some role of the user has the permission.
 
-    ``user_roles``: (user, role) rows; ``role_permissions``: (role, action, resource) rows. Permissions of users are
-    built once and distinct, and requests meet them in one outer join on all three columns."""
-    granted = user_roles.join(role_permissions, "role").select("user", "action", "resource").distinct().withColumn(name, F.lit(True))
+    ``user_roles``: (user, role) rows; ``role_permissions``: (role, action, resource) rows. The distinct questions meet
+    the roles of their users and then, in a semi-join, the permissions: rows stay within questions times roles a
+    user, however many permissions the roles have."""
+    asked = requests.select("user", "action", "resource").distinct()
+    held = asked.join(user_roles, "user").join(role_permissions, ["role", "action", "resource"], "left_semi")
+    granted = held.select("user", "action", "resource").distinct().withColumn(name, F.lit(True))
     out = requests.join(granted, ["user", "action", "resource"], "left")
     return out.select(*[requests[c] for c in requests.columns], F.coalesce(name, F.lit(False)).alias(name))
 
@@ -44,7 +49,7 @@ def expand(tuples: DataFrame, depth: int | None = None, max_depth: int = 50) ->
         step = links.join(member, ["userset_object", "userset_relation"]).select("object", "relation", "user").distinct()
         new = step.join(found, ["object", "relation", "user"], "left_anti")
         if depth is None:
-            new = new.checkpoint() if _has_checkpoint(new) else new.cache()
+            new = cut(new)
             if not new.take(1):
                 return found
         found = found.unionByName(new)
@@ -53,10 +58,6 @@ def expand(tuples: DataFrame, depth: int | None = None, max_depth: int = 50) ->
     return found
 
 
-def _has_checkpoint(df: DataFrame) -> bool:
-    return bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
-
-
 def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
     """(root, node) for each node that edges (parent, child) reach from a root, itself included."""
     found = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node")).distinct()
@@ -64,7 +65,7 @@ def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFr
     for _ in range(max_depth):
         step = new.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
         new = step.join(found, ["root", "node"], "left_anti")
-        new = new.checkpoint() if _has_checkpoint(new) else new.cache()
+        new = cut(new)
         if not new.take(1):
             return found
         found = found.unionByName(new)

@@ -33,11 +33,13 @@ class Table:
 
 @dataclass(frozen=True)
 class Step:
-    """``kinds``: types of variables that stand for array elements inside an expression."""
+    """``kinds``: types of variables that stand for array elements inside an expression. ``unit``: the one row without
+    columns that a body begins with; the first table takes its place."""
 
     df: DataFrame
     env: Mapping[str, Column] = field(default_factory=dict)
     kinds: Mapping[str, T.DataType] = field(default_factory=dict)
+    unit: bool = False
 
     def bind(self, name: str, value: Column, kind: T.DataType | None = None) -> Step:
         return replace(self, env={**self.env, name: value}, kinds={**self.kinds, name: kind} if kind else self.kinds)
@@ -75,7 +77,7 @@ class Planner:
         spark = next(iter(self.tables.values())).frame.sparkSession if self.tables else inputs.sparkSession
         parts = []
         for r in rules:
-            start = Step(inputs.select(F.struct("*").alias("input")) if inputs is not None else spark.range(1).select())
+            start = Step(inputs.select(F.struct("*").alias("input"))) if inputs is not None else Step(spark.range(1).select(), unit=True)
             columns, step = self.head(r, self.body(r.body, start, r))
             parts.append(step.df.select(*columns))
         rows = reduce(lambda a, b: a.unionByName(b), parts).distinct()
@@ -221,9 +223,9 @@ class Planner:
     def iterate(self, key: Any, value: Any, coll: Any, step: Step, r: Rule) -> Step:
         if (frame := self.frame(coll, r)) is not None:
             alias = self.fresh()
-            df = step.df.crossJoin(frame.frame.select(F.struct("*").alias(alias)))
+            rows = frame.frame.select(F.struct("*").alias(alias))
             row = F.col(alias)
-            step = replace(step, df=df)
+            step = replace(step, df=rows if step.unit else step.df.crossJoin(rows), unit=False)
             single = len(frame.frame.columns) == 1 and frame.frame.columns[0] == "value"
             step = self.match(value, row["value"] if single else row, step, r)
             return self.match(key, row[frame.key], step, r) if key is not None and frame.key else step
