@@ -6,6 +6,7 @@ documents, transforms them, and replaces the subtree at its path. Nothing is wri
 
 from __future__ import annotations
 
+import importlib
 import json
 import re
 from collections.abc import Callable, Mapping, Sequence
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from lodestar.operators.catalog import Catalog
 from lodestar.sources.files import document_tree, parse_any, parse_document
@@ -165,8 +166,6 @@ class _ClientReader(DataSourceReader):
         self.options = dict(options)
 
     def _client(self) -> Any:
-        import importlib
-
         module, _, name = self.options["client"].partition(":")
         return getattr(importlib.import_module(module), name)(self.options)
 
@@ -177,6 +176,44 @@ class _ClientReader(DataSourceReader):
         yield from self._client().rows(partition.value)
 
 
+class MessageSource(DataSource):
+    """A stream over a message client (such as a Pulsar consumer): ``option("client", "module:function")``.
+
+    ``function(options)`` returns an object with ``read(after, most)``: messages after a position (id, key, topic,
+    producer, timestamp, value), at most so many, and the new position. Positions are numbers that only grow, so that a
+    batch can be read again after a failure."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "messages"
+
+    def schema(self) -> str:
+        return "id string, key string, topic string, producer string, timestamp long, value string"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802 - Spark's name
+        return _MessageReader(self.options)
+
+
+class _MessageReader(SimpleDataSourceStreamReader):
+    def __init__(self, options: Mapping[str, str]):
+        module, _, name = options["client"].partition(":")
+        self.client = getattr(importlib.import_module(module), name)(dict(options))
+        self.most = int(options.get("batch", "200"))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"position": 0}
+
+    def read(self, start: dict):
+        rows, position = self.client.read(start["position"], self.most)
+        return iter(rows), {"position": position}
+
+    def readBetweenOffsets(self, start: dict, end: dict):  # noqa: N802
+        at = start["position"]
+        while at < end["position"]:
+            rows, at = self.client.read(at, end["position"] - at)
+            yield from rows
+
+
 def kafka_stream(spark: SparkSession, servers: str, topics: Sequence[str], start: str = "earliest", options: Mapping[str, str] | None = None) -> DataFrame:
     """Kafka messages with key and value as text, and unix seconds (needs Spark's connector on the class path)."""
     source = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics))

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import documents as doc
 from lodestar.functions import scalar
 from lodestar.functions.patterns import glob_to_regex
-from lodestar.operators import analysis, catalog, keyed, relations
+from lodestar.operators import analysis, catalog, keyed, lineage, relations
 from lodestar.plans.evaluate import Engine
 from lodestar.sources import connectors, external, files, sinks
 from lodestar.streaming import events, ingest
@@ -224,6 +225,36 @@ def test_client_source(spark):
     assert sorted(r.x for r in df.collect()) == [0, 1, 2, 3, 4]
 
 
+class _Queue:
+    def read(self, after, most):
+        ids = range(after, min(after + most, 5))
+        return [(str(i), "k", "t", "p", i, json.dumps({"n": i})) for i in ids], max(after, min(after + most, 5))
+
+
+def queue_client(options):
+    return _Queue()
+
+
+def test_message_stream(spark, tmp_path):
+    spark.dataSource.register(connectors.MessageSource)
+    stream = spark.readStream.format("messages").option("client", "tests.test_engine:queue_client").option("batch", "3").load()
+    q = stream.writeStream.format("memory").queryName("messages_out").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for _ in range(100):
+        if spark.sql("SELECT * FROM messages_out").count() == 5:
+            break
+        time.sleep(0.2)
+    q.stop()
+    assert sorted(r.value for r in spark.sql("SELECT value FROM messages_out").collect()) == [f'{{"n": {i}}}' for i in range(5)]
+
+
+def test_time_limit(spark):
+    assert lineage.limited(spark, 60, lambda: spark.range(5).count()) == 5
+    with pytest.raises(TimeoutError):
+        lineage.limited(spark, 1, lambda: spark.range(10**12).selectExpr("sum(sqrt(id))").collect())
+    with pytest.raises(ZeroDivisionError):
+        lineage.limited(spark, 60, lambda: 1 / 0)
+
+
 def test_sinks():
     lines = ["a" * n for n in (3, 3, 10, 1)]
     assert [len(b) for b in sinks.batches(lines, count=2)] == [2, 2] and [len(b) for b in sinks.batches(lines, size=7)] == [2, 1, 1]
