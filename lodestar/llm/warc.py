@@ -146,18 +146,31 @@ class _Shard:
 
     def close(self) -> dict:
         self.stream.close()
-        self.fs.move(self.temporary, self.final)
+        _replace(self.fs, self.temporary, self.final)
         return {"file": self.name, "records": self.records, "bytes": self.size, "sha256": self.sha.hexdigest()}
 
 
+def _replace(fs: pafs.FileSystem, source: str, target: str) -> None:
+    """Rename; an earlier attempt of the task may have left the same bytes there."""
+    try:
+        fs.move(source, target)
+    except OSError:
+        fs.delete_file(target)
+        fs.move(source, target)
+
+
 def _commit(files: DataFrame, target: str) -> None:
-    """Write the manifest under a temporary name and rename it. It has a line for each file, not for each record."""
+    """Write the manifest under a temporary name and rename it, then drop what lost attempts left. It has a line for
+    each file, not for each record."""
     fs, root = resolve(target)
     fs.create_dir(root, recursive=True)
     listed = sorted((r.asDict() for r in files.toLocalIterator()), key=lambda r: r["file"])
     with fs.open_output_stream(f"{root}/_tmp-{MANIFEST}", compression=None) as f:
         f.write(json.dumps({"files": listed}, indent=0).encode())
-    fs.move(f"{root}/_tmp-{MANIFEST}", f"{root}/{MANIFEST}")
+    _replace(fs, f"{root}/_tmp-{MANIFEST}", f"{root}/{MANIFEST}")
+    for info in fs.get_file_info(pafs.FileSelector(root)):
+        if info.base_name.startswith("_tmp-"):
+            fs.delete_file(info.path)
 
 
 def records_of(stream: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:

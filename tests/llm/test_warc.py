@@ -40,6 +40,16 @@ def test_files_outside_the_manifest_do_not_count(spark, tmp_path):
     assert warc.read_archive(spark, str(tmp_path / "a")).count() == len(ROWS)
 
 
+def test_a_second_attempt_replaces_the_first(spark, tmp_path):
+    """As when an executor is lost: files of the final and of temporary names are there already."""
+    warc.write_archive(_pages(spark, ROWS), str(tmp_path / "a"), partitions=2)
+    before = (tmp_path / "a" / warc.MANIFEST).read_bytes()
+    (tmp_path / "a" / "_tmp-000000-17-part-000000-0000.warc.gz").write_bytes(b"half a file")
+    warc.write_archive(_pages(spark, ROWS), str(tmp_path / "a"), partitions=2)
+    assert (tmp_path / "a" / warc.MANIFEST).read_bytes() == before
+    assert not [x for x in os.listdir(tmp_path / "a") if x.startswith("_tmp")]
+
+
 def test_empty_table(spark, tmp_path):
     warc.write_archive(_pages(spark, ROWS).limit(0), str(tmp_path / "a"))
     assert warc.read_archive(spark, str(tmp_path / "a")).count() == 0
