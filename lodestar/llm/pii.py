@@ -204,8 +204,12 @@ _SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end",
 
 
 def candidates_of(text: str) -> list[dict]:
+    """Strict spans, and loose ones that overlap none of them, with their votes."""
     out = []
-    for spans, strict in ((base_spans(text), True), (loose_spans(text), False)):
+    strict_spans = base_spans(text)
+    taken = [(a, b) for a, _, b in strict_spans]
+    free = [(a, k, b) for a, k, b in loose_spans(text) if all(b <= x or a >= y for x, y in taken)]
+    for spans, strict in ((strict_spans, True), (free, False)):
         out += [{"kind": k, "start": a, "end": b, "strict": strict, "votes": encode_votes(votes(text, k, a, b, strict))} for a, k, b in spans]
     return out
 
