@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -207,8 +209,9 @@ def candidates_of(text: str) -> list[dict]:
     """Strict spans, and loose ones that overlap none of them, with their votes."""
     out = []
     strict_spans = base_spans(text)
-    taken = [(a, b) for a, _, b in strict_spans]
-    free = [(a, k, b) for a, k, b in loose_spans(text) if all(b <= x or a >= y for x, y in taken)]
+    starts = [a for a, _, _ in strict_spans]
+    ends = list(accumulate((b for _, _, b in strict_spans), max, initial=0))  # the furthest end of the first i spans
+    free = [(a, k, b) for a, k, b in loose_spans(text) if ends[bisect_left(starts, b)] <= a]
     for spans, strict in ((strict_spans, True), (free, False)):
         out += [{"kind": k, "start": a, "end": b, "strict": strict, "votes": encode_votes(votes(text, k, a, b, strict))} for a, k, b in spans]
     return out
@@ -217,12 +220,11 @@ def candidates_of(text: str) -> list[dict]:
 def accepted(found: list[dict], model: SpanModel) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(strict spans, all spans) as sorted (start, kind, end); an added span never overlaps another span."""
     base = sorted((s["start"], s["kind"], s["end"]) for s in found if s["strict"])
-    taken = [(a, b) for a, _, b in base]
-    added = []
+    added, end = [], 0
     for s in sorted((s for s in found if not s["strict"]), key=lambda s: (s["start"], s["kind"])):
-        if (s["kind"], s["votes"]) in model.accept and all(s["end"] <= a or s["start"] >= b for a, b in taken):
+        if (s["kind"], s["votes"]) in model.accept and s["start"] >= end:
             added.append((s["start"], s["kind"], s["end"]))
-            taken.append((s["start"], s["end"]))
+            end = s["end"]
     return base, sorted(base + added)
 
 

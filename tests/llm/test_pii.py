@@ -31,6 +31,22 @@ def test_base_spans_equal_the_plain_patterns(seed):
 def test_long_runs_stay_linear():
     for unit in ("1", "a", "@", "1.", "+1", "1 ", "a@", "("):
         pii.candidates_of(unit * 200_000)
+    many = "a@b.co (375) 555-4393; " * 20_000
+    found = pii.candidates_of(many)
+    assert len(found) == 40_000
+    every = pii.SpanModel(frozenset((s["kind"], s["votes"]) for s in found), {}, ())
+    assert len(pii.accepted(found, every)[1]) == 40_000
+
+
+def test_added_spans_overlap_nothing():
+    rng = random.Random(9)
+    for _ in range(2000):
+        text = "".join(rng.choice(["(375) 555-4393", "+1 ", "375-555-4393", " at ", "x", "dot com", "(at)", "10.0.0.1", " ", "4111111111111112"]) for _ in range(8))
+        found = pii.candidates_of(text)
+        base, spans = pii.accepted(found, pii.SpanModel(frozenset((s["kind"], s["votes"]) for s in found), {}, ()))
+        added = sorted((a, b) for a, k, b in spans if (a, k, b) not in base)
+        assert all(b <= c for (_, b), (c, _) in zip(added[:-1], added[1:], strict=True))
+        assert all(b <= x or a >= y for a, b in added for x, _, y in base)
 
 
 def test_reliabilities_and_decisions():
