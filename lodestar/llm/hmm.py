@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import chunks as ck
-from lodestar.llm.storage import materialize
+from lodestar.llm.storage import columns, materialize
 
 
 @dataclass
@@ -158,11 +158,11 @@ def baum_welch(chunked: DataFrame, states: int, classes: int, rounds: int, segme
             yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "value"])
 
         sums = chunked.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
-        got = sums.toPandas()  # states * classes sums at most
-        if not len(got):
+        got = columns(sums)  # states * classes sums at most
+        if not len(got["at"]):
             return model
         total = np.zeros(states + states * states + states * classes)
-        total[got["at"].to_numpy()] = got["value"].to_numpy()
+        total[got["at"]] = got["value"]
         start, move, emit = np.split(total, [states, states + states * states])
         model = updated(start, move.reshape(states, states), emit.reshape(states, classes))
     return model
@@ -198,10 +198,10 @@ def score_documents(docs: DataFrame, held_out: Column, states: int = 8, classes:
         return pa.Table.from_pylist(rows, schema=arrow)
 
     answers = materialize(asked.groupBy("shard").applyInArrow(count, "chunk long, shard long, n long, m long, answer binary"), "hmm-answers")
-    per_class = answers.filter("chunk = -1").groupBy("shard").agg(F.sum("n").alias("n"), F.sum("m").alias("v")).toPandas()  # one row a class
+    per_class = columns(answers.filter("chunk = -1").groupBy("shard").agg(F.sum("n").alias("n"), F.sum("m").alias("v")))  # one row a class
     n_class, v_class = np.zeros(classes - 1), np.zeros(classes - 1)
-    n_class[per_class["shard"].to_numpy(int)] = per_class["n"].to_numpy(float)
-    v_class[per_class["shard"].to_numpy(int)] = per_class["v"].to_numpy(float)
+    n_class[per_class["shard"]] = per_class["n"]
+    v_class[per_class["shard"]] = per_class["v"]
     trained = _training_documents(chunked)
     n_all, v_all = int(n_class.sum()) + trained, int(v_class.sum()) + (trained > 0)
     model = baum_welch(chunked, states, classes, rounds, segment)

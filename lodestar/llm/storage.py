@@ -14,6 +14,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, list[str]] = {}
@@ -74,11 +75,23 @@ def discard(*tables: DataFrame | None) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete every table that this application's operators have written, results that plans still read included."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def columns(df: DataFrame) -> dict[str, np.ndarray]:
+    """A table of bounded size as arrays, by way of Arrow."""
+    table = df.toArrow()
+    return {name: table.column(name).to_numpy() for name in table.column_names}
+
+
 def is_empty(df: DataFrame) -> bool:
     return len(df.take(1)) == 0
