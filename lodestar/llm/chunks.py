@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.storage import materialize
-from lodestar.llm.text import slices, texts_of, words_of
+from lodestar.llm.text import releasing, slices, texts_of, words_of
 
 SHARD_KEYS = 2_000_000
 
@@ -79,7 +79,7 @@ def encode(docs: DataFrame, flag, limit: int = 16 << 20, extra: Callable | None
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"), flag.alias("flag"))
     ddl = _DDL + "".join(f", {name} binary" for name, _ in (extra_fields or []))
-    return materialize(source.mapInArrow(run, ddl), label)
+    return materialize(source.mapInArrow(releasing(run), ddl), label)
 
 
 class Chunk:
@@ -121,7 +121,7 @@ def requests(chunks: DataFrame, shards: int, columns: list[str], make: Callable[
                 ]
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return chunks.select("chunk", *columns).mapInArrow(run, REQUEST)
+    return chunks.select("chunk", *columns).mapInArrow(releasing(run), REQUEST)
 
 
 def merge_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:

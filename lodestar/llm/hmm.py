@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import chunks as ck
 from lodestar.llm.storage import columns, materialize
+from lodestar.llm.text import releasing
 
 
 @dataclass
@@ -157,7 +158,7 @@ def baum_welch(chunked: DataFrame, states: int, classes: int, rounds: int, segme
             at = np.flatnonzero(total)
             yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "value"])
 
-        sums = chunked.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
+        sums = chunked.mapInArrow(releasing(run), "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
         got = columns(sums)  # states * classes sums at most
         if not len(got["at"]):
             return model
@@ -240,7 +241,7 @@ def _training_documents(chunked: DataFrame) -> int:
         for batch in batches:
             yield pa.record_batch([pa.array([int(np.frombuffer(x, bool).sum()) for x in batch.column("flags").to_pylist()], pa.int64())], names=["n"])
 
-    return chunked.select("flags").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return chunked.select("flags").mapInArrow(releasing(run), "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def _by_document(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import bpe
-from lodestar.llm.text import column, texts_of
+from lodestar.llm.storage import bound_batches
+from lodestar.llm.text import column, release, texts_of
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -86,6 +87,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, seq_len: int = 1024, end_id:
     doc_id and repeated rows are packed like any other row, each on its own. An empty table gives an empty
     table. Other columns of ``docs`` are not read.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.count()
     groups = max(1, math.ceil(rows / group_docs))
     place = F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))
@@ -105,7 +107,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, seq_len: int = 1024, end_id:
                 for target, value in zip(out, row, strict=True):
                     target.append(value)
                 offset += n
-        return pa.table([pa.array(x, f.type) for x, f in zip(out, SCHEMA, strict=True)], schema=SCHEMA)
+        packed = pa.table([pa.array(x, f.type) for x, f in zip(out, SCHEMA, strict=True)], schema=SCHEMA)
+        del out, held
+        release()
+        return packed
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return source.groupBy("grp").applyInArrow(pack, schema)

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.storage import materialize
-from lodestar.llm.text import column, texts_of
+from lodestar.llm.storage import bound_batches, materialize
+from lodestar.llm.text import column, releasing, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "check", "gazetteer", "context", "border", "other")
@@ -238,7 +238,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([column(batch, "doc_id"), pa.array(spans, _SPAN)], schema=schema)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id long, spans array<{SPAN}>")
+    return source.mapInArrow(releasing(run), f"doc_id long, spans array<{SPAN}>")
 
 
 def train(found: DataFrame) -> SpanModel:
@@ -265,11 +265,12 @@ def detect(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([column(batch, "doc_id"), pa.array([named(b) for b, _ in both], kind), pa.array([named(a) for _, a in both], kind)], schema=schema)
 
     span = "array<struct<kind:string,start:long,end:long>>"
-    return found.mapInArrow(run, f"doc_id long, base {span}, spans {span}")
+    return found.mapInArrow(releasing(run), f"doc_id long, base {span}, spans {span}")
 
 
 def redact(docs: DataFrame, placeholder: str = "[{kind}]") -> DataFrame:
     """``docs`` with each detected span of ``text`` replaced; all columns and rows stay, null texts stay null."""
+    bound_batches(docs.sparkSession)
     model = train(candidates(docs))
     at = docs.columns.index("text")
 
@@ -289,4 +290,4 @@ def redact(docs: DataFrame, placeholder: str = "[{kind}]") -> DataFrame:
             texts = pa.array([clean(t) for t in batch.column(at).to_pylist()], field.type)
             yield batch.set_column(at, field, texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -51,6 +51,12 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         spark.conf.set(BATCH, old)
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """The same for results that are computed after an operator has returned: the session keeps the smaller size."""
+    if not 0 < int(spark.conf.get(BATCH)) <= rows:
+        spark.conf.set(BATCH, str(rows))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the lineage before it is gone."""
     spark = df.sparkSession

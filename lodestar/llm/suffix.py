@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import chunks as ck
 from lodestar.llm.storage import discard, materialize
-from lodestar.llm.text import MIX1, STEP, column, mix64, slices, texts_of
+from lodestar.llm.text import MIX1, STEP, column, mix64, releasing, slices, texts_of
 
 GRAM = 32
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -132,7 +132,7 @@ def _send(table: DataFrame, column: str, shards: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_pylist(out, schema=_REQUEST)
 
-    return table.select("chunk", column).mapInArrow(run, _REQUEST_DDL)
+    return table.select("chunk", column).mapInArrow(releasing(run), _REQUEST_DDL)
 
 
 def places(keys: np.ndarray, shards: int) -> dict:
@@ -216,7 +216,7 @@ def chunk_texts(docs: DataFrame, limit: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([row], schema=fields)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(source.mapInArrow(run, "chunk long, n_docs long, doc_ids array<long>, sizes binary, size long, blob binary"), "suffix-text")
+    return materialize(source.mapInArrow(releasing(run), "chunk long, n_docs long, doc_ids array<long>, sizes binary, size long, blob binary"), "suffix-text")
 
 
 def _text(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 2 << 2
                 out = {"chunk": row["chunk"], "n": len(tests), "tests": ck.pack(np.diff(tests, prepend=0)), "first": np.packbits(first).tobytes(), "names": both.tobytes()}
                 yield pa.RecordBatch.from_pylist([out], schema=tested)
 
-    sampled = materialize(texts.mapInArrow(sample, "chunk long, n long, tests binary, first binary, names binary"), "suffix-tests")
+    sampled = materialize(texts.mapInArrow(releasing(sample), "chunk long, n long, tests binary, first binary, names binary"), "suffix-tests")
     total = sampled.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-2 * total // ck.SHARD_KEYS))
     width = np.uint16 if shards < 1 << 16 else np.uint32
@@ -287,7 +287,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 2 << 2
         return _rows(judged, out)
 
     ddl = "chunk long, n long, tests binary, first binary"
-    left = sampled.mapInArrow(show, f"{ddl}, {_PLACES_DDL}")
+    left = sampled.mapInArrow(releasing(show), f"{ddl}, {_PLACES_DDL}")
     state = materialize(left.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(judge, f"{ddl}, m long, at binary, shard binary, rank binary, need binary, repeated binary"), "suffix-state")
     discard(sampled, ranks)
 
@@ -315,7 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 2 << 2
             needed[(v[(v & np.uint64(1)) == 1] >> np.uint64(1)).astype(np.int64)] = 1
         return pa.table([t.column("chunk"), t.column("shard"), t.column("n"), pa.array([ck.pack(needed[(v >> np.uint64(1)).astype(np.int64)]) for v in values], pa.binary())], schema=_ANSWER)
 
-    asked = state.select("chunk", "m", "shard", "rank", "need").mapInArrow(want, _REQUEST_DDL)
+    asked = state.select("chunk", "m", "shard", "rank", "need").mapInArrow(releasing(want), _REQUEST_DDL)
     marks = materialize(asked.groupBy("shard").applyInArrow(mark, ck.ANSWER), "suffix-b")
     planned = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("lo", pa.binary()), ("hi", pa.binary()), ("m", pa.int64()), ("found", pa.binary())])
 
@@ -379,7 +379,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 2 << 2
             out.append({"chunk": row["chunk"], "m": len(found), "found": ck.pack(np.diff(found, prepend=0))})
         return _rows(hits, out)
 
-    left = expanded.mapInArrow(place, f"chunk long, n long, starts binary, {_PLACES_DDL}")
+    left = expanded.mapInArrow(releasing(place), f"chunk long, n long, starts binary, {_PLACES_DDL}")
     settled = left.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(settle, "chunk long, m long, found binary")
     found = materialize(settled.unionByName(plans.select("chunk", "m", "found")).filter("m > 0"), "suffix-found")
     discard(expanded, ranks, plans)

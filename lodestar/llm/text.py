@@ -6,8 +6,10 @@ empty text. Everything works on whole texts; batches are cut between documents,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,28 @@ import pyarrow.compute as pc
 MIX1, MIX2, STEP = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def releasing(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """Give a task's memory back when it ends: Python workers are reused, and idle ones would keep it."""
+
+    @wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (multiply and shift)."""
     x = x.astype(np.uint64, copy=True)

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import bpe
-from lodestar.llm.text import column, slices, texts_of, words_of
+from lodestar.llm.storage import bound_batches
+from lodestar.llm.text import column, releasing, slices, texts_of, words_of
 
 
 class Automaton:
@@ -111,6 +112,7 @@ def token_counts(docs: DataFrame, vocabulary: str, lower: bool = False) -> DataF
     Words are split at ASCII white space. Null and empty texts have 0 of both; null ids and repeated rows are
     counted like any other row; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,4 +125,4 @@ def token_counts(docs: DataFrame, vocabulary: str, lower: bool = False) -> DataF
                 yield pa.record_batch([column(part, "doc_id"), pa.array(np.diff(words.offsets)), pa.array(np.diff(total[words.offsets]))], schema=schema)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return source.mapInArrow(releasing(run), "doc_id long, n_words long, n_tokens long")
