@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is two aggregations and two joins; joins on a hot vertex are splittable by AQE because both sides
-are exchanged by the join itself. The edges of a round are a written table, so a lost executor costs one
+Each round is two aggregations and two joins. The aggregates are written before they are joined: a join that reuses
+an aggregate's partitioning would bring all edges of a hot vertex to one task, while both sides of these joins are
+exchanged by the join itself, so that AQE can split a hot vertex. The edges of a round are a written table, so a lost executor costs one
 round at most. Edges never reach the driver: it sees a count and a checksum for each round.
 """
 
@@ -25,10 +26,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        large = _large_star(now)
-        nxt = materialize(_small_star(large), "cc")
+        stars, least = _large_star(now)
+        large = materialize(stars, "cc-large")
+        discard(now, least)
+        stars, least = _small_star(large)
+        nxt = materialize(stars, "cc")
+        discard(large, least)
         after = _checksum(nxt)
-        discard(now)
         now, done, state = nxt, after == state, after
         if done:
             break
@@ -45,16 +49,19 @@ def _checksum(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each vertex's larger neighbours point to its smallest; and the written table of smallest ones."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
+    least = materialize(least, "cc-least")
     larger = both.filter("v > u")
-    return larger.join(least, larger.u == least.c).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return larger.join(least, larger.u == least.c).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each vertex and its smaller neighbours point to the smallest of these; and the written table of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c"), "cc-least")
     joined = down.join(least, down.u == least.c)
     out = joined.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-    return out.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct()
+    return out.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), least

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.components import connected_components
 from lodestar.llm.storage import discard, is_empty, materialize
-from lodestar.llm.text import STEP, column, mix64, shingles_of, slices, texts_of, words_of
+from lodestar.llm.text import STEP, column, mix64, releasing, shingles_of, slices, texts_of, words_of
 
 BINS = 256
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 yield pa.record_batch([column(part, "doc_id"), pa.array(n), pa.array(a), pa.array(b), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return source.mapInArrow(releasing(run), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, star_group: int = 256, block: int = 1024) -> DataFrame:
@@ -103,7 +103,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = materialize(signatures(docs, shingle, bands, rows), "minhash-sig")
     known = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # aggregates are written before they are joined, so that AQE can split a hot set, bucket or centre
+    reps = materialize(known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "minhash-reps")
     member = materialize(
         known.select("doc_id", "set_a", "set_b", "n_shingles").join(reps, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep").distinct(), "minhash-member"
     )
@@ -111,7 +112,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     buckets = known.join(lone, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key")).distinct()
     order = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("c"))
     centres = buckets.groupBy("key").agg(F.min(order).alias("m"), F.count("*").alias("n")).filter("n > 1")
-    cand = materialize(buckets.join(centres.select("key", F.col("m.c").alias("centre")), "key").select("key", "doc_id", "centre"), "minhash-cand")
+    centres = materialize(centres.select("key", F.col("m.c").alias("centre")), "minhash-centres")
+    cand = materialize(buckets.join(centres, "key").select("key", "doc_id", "centre"), "minhash-cand")
     pairs = cand.filter("doc_id <> centre").select("centre", "doc_id").distinct()
     # texts of candidates only are read again; one plan at every size, as a broadcast of ids would not scale
     wanted = cand.select("doc_id").distinct()
@@ -126,7 +128,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         again = materialize(connected_components(both), "minhash-comp")
         discard(comp, more)
         comp = again
-    discard(cand, edges, rest, texts)
+    discard(reps, centres, cand, edges, rest, texts)
     joined = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     final = materialize(joined.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id")), "minhash-final")
     discard(comp)
@@ -139,7 +141,7 @@ def _confirm_stars(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int
     """Confirmed (src, dst) of the pairs (centre, doc_id). A centre's members are dealt to salted groups of
     about ``group``; the centre's text goes to each of them."""
     pairs = materialize(pairs, "minhash-pairs")
-    salts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"))
+    salts = materialize(pairs.groupBy("centre").agg(F.ceil(F.count("*") / group).cast("int").alias("salts")), "minhash-salts")
     salted = pairs.join(salts, "centre").select("doc_id", "centre", F.pmod(F.xxhash64("doc_id", F.lit(7)), "salts").cast("int").alias("salt"), F.lit(False).alias("hub"))
     hubs = salted.select(F.col("centre").alias("doc_id"), "centre", "salt", F.lit(True).alias("hub")).distinct()
     held = docs.join(salted.unionByName(hubs), "doc_id")
