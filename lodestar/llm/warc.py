@@ -26,10 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.storage import materialize
+from lodestar.llm.storage import discard, materialize
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "MANIFEST.json"
+TASK_BYTES = 256 << 20
 NAMESPACE = uuid.UUID(int=0)
 FILES = "file string, records long, bytes long, sha256 string"
 
@@ -89,7 +90,9 @@ def write_archive(pages: DataFrame, target: str, roll_bytes: int = 64 << 20, par
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     keyed = rows.filter("page_id IS NOT NULL").select("page_id", "url", F.sha1("payload").alias("digest"), F.length("payload").alias("n"))
+    keyed = materialize(keyed, "warc-digests")
     first = keyed.filter(F.col("n") >= min_payload).groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    first = materialize(first, "warc-first")  # written before it is joined, so that AQE can split a hot payload
     marks = keyed.select("page_id", "digest").join(first, "digest").filter(F.col("page_id") != F.col("first.page_id"))
     marks = marks.select("page_id", "digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_uri")).distinct()
     # marks and pages meet by sorting: each page's marks come just before it, and the payload is shuffled once
@@ -97,8 +100,10 @@ def write_archive(pages: DataFrame, target: str, roll_bytes: int = 64 << 20, par
     both = marks.select("page_id", F.lit(0).alias("kind"), none("string").alias("url"), none("binary").alias("payload"), "digest", "refers_to", "refers_uri").unionByName(
         rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", F.sha1("payload").alias("digest"), none("long").alias("refers_to"), none("string").alias("refers_uri"))
     )
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = both.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "kind", "digest", "url")
+    if partitions is None:  # a task's share of the payloads stays the same however large the table is
+        total = keyed.agg(F.sum("n")).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    placed = both.repartitionByRange(partitions, "page_id").sortWithinPartitions("page_id", "kind", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -127,6 +132,7 @@ def write_archive(pages: DataFrame, target: str, roll_bytes: int = 64 << 20, par
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
     files = materialize(placed.mapInArrow(run, FILES), "warc-files")
+    discard(keyed, first)
     _commit(files, target)
     return files
 
