@@ -18,7 +18,7 @@ from lodestar.llm.storage import materialize
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return kneser_ney.keep_good(docs, table(spark, sf_dir, "labels"))
+    return kneser_ney.keep_good(docs, table(spark, sf_dir, "labels"), min_count=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

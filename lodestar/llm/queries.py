@@ -68,7 +68,7 @@ def op9_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), min_count=1)
     return judged.select("doc_id", "lang", "n_tokens", "log10_prob", "perplexity", "threshold", "keep")
 
 

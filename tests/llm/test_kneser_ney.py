@@ -82,3 +82,46 @@ def test_without_labels_nothing_is_rejected(spark):
     docs, labels = _frames(spark)
     assert kn.classify(docs, labels.limit(0)).filter("NOT keep OR threshold IS NOT NULL").count() == 0
     assert kn.classify(docs.limit(0), labels).count() == 0
+
+
+def _whole(train, text):
+    """The same model with every bigram: those that occur once are discounted by D1."""
+    count = Counter(w for t in train for w in t.split())
+    vocab = {w for w, c in count.items() if c >= 2}
+    unseen = max(1, len(count) - len(vocab))
+    seq = lambda t: ["<e>", *(w if w in vocab else "<u>" for w in (t or "").lower().split()), "<e>"]
+    pairs = Counter(p for t in train for p in zip(seq(t)[:-1], seq(t)[1:], strict=True))
+    types, hist, kept = Counter(b for _, b in pairs), Counter(), Counter()
+    d2 = kn.discounts([sum(c == i for c in pairs.values()) for i in (1, 2, 3, 4)])
+    d1 = kn.discounts([sum(c == i for c in types.values()) for i in (1, 2, 3, 4)])
+    for (a, _), c in pairs.items():
+        hist[a] += c
+        kept[a] += c - d2[min(c, 3) - 1]
+    known, total = [*vocab, "<e>", "<u>"], sum(types.values())
+    own = {w: max(types[w] - d1[min(types[w], 3) - 1], 0) if types[w] else 0 for w in known}
+    lower = {w: own[w] / total + (1 - sum(own.values()) / total) / len(known) for w in known}
+
+    def prob(a, b):
+        q = (pairs[a, b] - d2[min(pairs[a, b], 3) - 1]) / hist[a] if pairs[a, b] else 0
+        return q + (1 - kept[a] / hist[a] if hist[a] else 1) * lower[b]
+
+    assert all(sum(prob(a, b) for b in known) == pytest.approx(1) for a in known)
+    s = seq(text)
+    return sum(math.log10(prob(a, b) / (unseen if b == "<u>" else 1)) for a, b in zip(s[:-1], s[1:], strict=True))
+
+
+def test_bigrams_that_occur_once_are_in_the_registered_model(spark, tmp_path):
+    """The query and the pipeline's stage: all bigrams of training, as an unpruned brute force has them."""
+    import corpus_pipeline
+    from lodestar.llm.queries import op10_kneser_ney_quality
+
+    docs, labels = _frames(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    half = {r.doc_id for r in kn._trusted(labels).filter(kn._train_half()).collect()}
+    train = [t for i, t, *_ in _corpus() if i in half]
+    got = {r.doc_id: r for r in op10_kneser_ney_quality(spark, str(tmp_path)).collect()}
+    for i, t, *_ in _corpus():
+        assert got[i].log10_prob == pytest.approx(_whole(train, t), rel=1e-5), t
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i, r in got.items() if r.keep}
