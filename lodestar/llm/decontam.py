@@ -2,8 +2,8 @@
 
 Every benchmark item is compared with item-sized windows of the documents. A window can only reach the wanted
 similarity if it shares a shingle with the item, so windows are laid where a shared shingle puts them; this loses
-nothing. Each window and item has a SimHash fingerprint of its weighted shingles (a shingle weighs as often as it
-occurs). Fingerprints are cut into ``radius + 1`` blocks: two fingerprints within ``radius`` bits agree in one
+nothing. Each window and item has a SimHash fingerprint of its (shingle, occurrence number) pairs: a repeated shingle
+votes as so many distinct ones, so that the angle follows the multiset similarity below. Fingerprints are cut into ``radius + 1`` blocks: two fingerprints within ``radius`` bits agree in one
 block at least, so an equi-join on blocks finds all of them. Survivors are compared by exact weighted-shingle
 similarity, ``2 * sum(min) / (sum + sum)``; for equally long windows that is the share of common shingles.
 
@@ -41,6 +41,11 @@ def simhash(hashes: str) -> Column:
     return F.expr(f"aggregate(sequence(0, 63), 0L, (f, b) -> f | shiftleft(cast({vote} > 0 AS bigint), b))")
 
 
+def occurrences(hashes: str) -> Column:
+    """Hashes of (shingle, occurrence number) pairs of sorted shingles: as many as there are shingles."""
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, i - F.array_position(hashes, h)))
+
+
 def block_bounds(radius: int, bits: int = 64) -> list[tuple[int, int]]:
     """(first bit, width) of radius + 1 blocks that cover all bits."""
     n = radius + 1
@@ -76,7 +81,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent: in
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).filter("size(w) > 0")
     items = items.select("item_id", F.size("w").alias("n"), F.least(F.size("w"), F.lit(shingle)).alias("k"), "w")
     items = items.select("item_id", "n", "k", shingles(F.col("w"), F.col("k")).alias("item_sh")).distinct()
-    items = materialize(items.withColumn("item_fp", simhash("item_sh")), "decontam-items")
+    items = items.withColumn("votes", F.array_sort("item_sh")).withColumn("votes", occurrences("votes"))
+    items = materialize(items.withColumn("item_fp", simhash("votes")).drop("votes"), "decontam-items")
     seeds = items.select("n", "k", F.posexplode("item_sh").alias("off", "h")).distinct()
     sizes = [r[0] for r in seeds.select("k").distinct().collect()]  # at most ``shingle`` values
     if seeds.count() <= BROADCAST_ROWS:
@@ -94,7 +100,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent: in
     cut = cut.select("doc_id", "text_hash", "start", "n", "k", words(F.col("text")).alias("w"))
     cut = cut.select("doc_id", "text_hash", "start", "n", "k", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
     cut = cut.select("doc_id", "text_hash", "start", "n", "k", shingles(F.col("w"), F.col("k")).alias("sh")).filter("size(sh) > 0").distinct()
-    cut = materialize(cut.withColumn("fp", simhash("sh")).withColumn("window", F.xxhash64("text_hash", "doc_id", "start", "n", "k")), "decontam-cut")
+    cut = cut.withColumn("votes", F.array_sort("sh")).withColumn("votes", occurrences("votes"))
+    cut = materialize(cut.withColumn("fp", simhash("votes")).drop("votes").withColumn("window", F.xxhash64("text_hash", "doc_id", "start", "n", "k")), "decontam-cut")
     left = cut.select("window", "n", "k", "fp", F.explode(blocks("fp", radius)).alias("b")).select("window", "n", "k", "fp", "b.block", "b.value")
     right = items.select("item_id", "n", "k", "item_fp", F.explode(blocks("item_fp", radius)).alias("b")).select("item_id", "n", "k", "item_fp", "b.block", "b.value")
     near = left.join(right, ["n", "k", "block", "value"]).withColumn("x", F.expr("fp ^ item_fp"))

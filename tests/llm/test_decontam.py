@@ -91,3 +91,13 @@ def test_main_path_has_no_python(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     plan = decontam.decontaminate(d, b)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_repeated_shingles_do_not_hide_a_window(spark):
+    """A quoted item followed by a run of one word: similar as multisets, far apart if a shingle votes with its count."""
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(404))) for i in range(12)]
+    docs = [(i, " ".join(item.split()[:324] + ["go"] * 80)) for i, item in items]
+    want = brute(docs, items)
+    assert len(want) == 12
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): (pytest.approx(r.similarity), -r.start_word) for r in decontam.matches(d, b).collect()} == want
