@@ -514,6 +514,24 @@ def fn_walk_leaves(spark, sf_dir):
     return spark.sql("SELECT e.event_id, w.path, w.value FROM events_walk e, LATERAL walk_json(e.props) w WHERE w.kind = 'number'")
 
 
+@query("""WITH l AS (SELECT l_orderkey, list({'n': l_linenumber, 'flag': l_returnflag, 'returned': l_returnflag = 'R', 'note': NULL::VARCHAR} ORDER BY l_linenumber, l_returnflag) AS lines FROM lineitem GROUP BY 1),
+d AS (SELECT o_orderkey, to_json({'status': o_orderstatus, 'customer': {'key': o_custkey}, 'lines': coalesce(lines, [])}) AS doc FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
+SELECT o_orderkey, replace(replace(replace(substr(j.fullkey, 2), '[', '/'), ']', ''), '.', '/') AS path, j.value::VARCHAR AS value,
+  CASE j.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind
+FROM d, json_tree(d.doc) j WHERE j.type NOT IN ('OBJECT', 'ARRAY')""")
+def fn_walk_nested_leaves(spark, sf_dir):
+    """Every leaf of each order's document with its lineitems."""
+    spark.udtf.register("walk_json", documents.WalkJson)
+    flag = F.col("l_returnflag")
+    line = F.struct(F.col("l_linenumber").alias("n"), flag.alias("flag"), (flag == "R").alias("returned"), F.lit(None).cast("string").alias("note"))
+    lines = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    orders = t(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    none = F.array().cast(lines.schema["lines"].dataType)
+    doc = F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_custkey").alias("key")).alias("customer"), F.coalesce("lines", none).alias("lines"))
+    orders.select("o_orderkey", F.to_json(doc, {"ignoreNullFields": "false"}).alias("doc")).createOrReplaceTempView("orders_walk")
+    return spark.sql("SELECT o.o_orderkey, w.path, w.value, w.kind FROM orders_walk o, LATERAL walk_json(o.doc) w WHERE w.kind NOT IN ('object', 'array')")
+
+
 @query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"u\":' || user_id || '}' AS doc FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def json_merge(spark, sf_dir):
     e = t(spark, sf_dir, "events").filter(documents.pointer_get(F.col("props"), "/k").isNotNull())
