@@ -259,6 +259,12 @@ cheap contains {"p": p.p_partkey, "s": s.s_suppkey} if {
     s.s_acctbal > p.p_retailprice
 }
 
+cheaper contains {"p": p.p_partkey, "s": s.s_suppkey} if {
+    some p in data.part
+    some s in data.supplier
+    s.s_acctbal > p.p_retailprice
+}
+
 by_region[r.r_name] := r.r_regionkey if some r in data.region
 
 looked contains {"c": c.c_custkey, "n": data.nation[c.c_nationkey].n_name} if some c in data.customer
@@ -318,6 +324,12 @@ def rule_theta_join(spark, sf_dir):
     return _planner(spark, sf_dir).relation("rules.cheap")
 
 
+@query("SELECT p_partkey AS p, count(*) AS n, min(s_suppkey) AS first, max(s_suppkey) AS last FROM part JOIN supplier ON s_acctbal > p_retailprice GROUP BY 1")
+def rule_theta_join_all(spark, sf_dir):
+    """All parts against all suppliers; the pairs are counted."""
+    return _planner(spark, sf_dir).relation("rules.cheaper").groupBy("p").agg(F.count("*").alias("n"), F.min("s").alias("first"), F.max("s").alias("last"))
+
+
 @query("SELECT r_name AS key, r_regionkey AS value FROM region")
 def rule_partial_object(spark, sf_dir):
     return _planner(spark, sf_dir).relation("rules.by_region")
