@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,15 +39,23 @@ def rbac_decisions(requests: DataFrame, user_roles: DataFrame, role_permissions:
     return out.select(*[requests[c] for c in requests.columns], F.coalesce(name, F.lit(False)).alias(name))
 
 
-def expand(tuples: DataFrame, depth: int | None = None, max_depth: int = 50) -> DataFrame:
+FOLD = 16  # rounds after which the pairs found so far become one checkpoint
+
+
+def rounds(limit: int | None) -> Iterable[int]:
+    return count() if limit is None else range(limit)
+
+
+def expand(tuples: DataFrame, depth: int | None = None, max_depth: int | None = None) -> DataFrame:
     """Members of (object, relation) through usersets: (object, relation, user).
 
     ``tuples``: (object, relation, user, userset_object, userset_relation); a row names a user or a userset. ``depth``
-    limits the indirections; None follows all of them (a semi-naive iteration: each round joins only new pairs)."""
+    limits the indirections; None follows all of them until no new pair appears (a semi-naive iteration: each round joins
+    only new pairs, so cycles end). More than ``max_depth`` rounds, if it is given, raise ``RuntimeError``."""
     direct = tuples.filter("user IS NOT NULL").select("object", "relation", "user").distinct()
     links = tuples.filter("userset_object IS NOT NULL").select("object", "relation", "userset_object", "userset_relation").distinct()
     found, new = direct, direct
-    for _ in range(max_depth if depth is None else depth):
+    for i in rounds(max_depth if depth is None else depth):
         member = new.select(F.col("object").alias("userset_object"), F.col("relation").alias("userset_relation"), "user")
         step = links.join(member, ["userset_object", "userset_relation"]).select("object", "relation", "user").distinct()
         new = step.join(found, ["object", "relation", "user"], "left_anti")
@@ -54,22 +64,26 @@ def expand(tuples: DataFrame, depth: int | None = None, max_depth: int = 50) ->
             if not new.take(1):
                 return found
         found = found.unionByName(new)
+        if depth is None and i % FOLD == FOLD - 1:
+            found = cut(found)
     if depth is None:
         raise RuntimeError(f"usersets are nested deeper than {max_depth}")
     return found
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(root, node) for each node that edges (parent, child) reach from a root, itself included."""
+def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(root, node) for each node that edges (parent, child) reach from a root, itself included; of any length unless ``max_depth`` is given."""
     found = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node")).distinct()
     new = found
-    for _ in range(max_depth):
+    for i in rounds(max_depth):
         step = new.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
         new = step.join(found, ["root", "node"], "left_anti")
         new = cut(new)
         if not new.take(1):
             return found
         found = found.unionByName(new)
+        if i % FOLD == FOLD - 1:
+            found = cut(found)
     raise RuntimeError(f"paths are longer than {max_depth}")
 
 

@@ -681,6 +681,21 @@ def rebac_closure(spark, sf_dir):
     return relations.expand(_tuples(spark, sf_dir))
 
 
+@query("""WITH RECURSIVE m AS (SELECT s_suppkey AS g, s_suppkey AS u FROM supplier
+UNION SELECT s.s_suppkey, m.u FROM m JOIN supplier s ON s.s_suppkey = m.g - 1 WHERE m.g % 8 <> 0)
+SELECT 'group:' || g AS object, 'member' AS relation, u::VARCHAR AS "user" FROM m""")
+def rebac_closure_chains(spark, sf_dir):
+    """Chains of eight groups, each a member of the one before: seven levels of usersets."""
+    blank = F.lit(None).cast("string")
+    group = lambda c: F.concat(F.lit("group:"), c)
+    s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
+    head = [F.lit("member").alias("relation")]
+    users = s.select(group(F.col("k")).alias("object"), *head, F.col("k").cast("string").alias("user"), blank.alias("userset_object"), blank.alias("userset_relation"))
+    inner = s.filter("k % 8 <> 0").select((F.col("k") - 1).alias("at"), "k").join(s.select(F.col("k").alias("at")), "at", "left_semi")
+    links = inner.select(group(F.col("at")).alias("object"), *head, blank.alias("user"), group(F.col("k")).alias("userset_object"), F.lit("member").alias("userset_relation"))
+    return relations.expand(users.unionByName(links))
+
+
 @query("""SELECT o_orderkey, EXISTS (
   SELECT 1 FROM customer c JOIN (SELECT DISTINCT c_mktsegment AS role, o_orderpriority AS action, o_orderstatus AS resource FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 250000) p ON p.role = c.c_mktsegment
   WHERE c.c_custkey = o.o_custkey AND p.action = o.o_orderpriority AND p.resource = o.o_orderstatus) AS allow FROM orders o""")

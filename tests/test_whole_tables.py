@@ -11,7 +11,7 @@ from lodestar.queries import ORACLES, QUERIES
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["fn_walk_nested_leaves", "rule_theta_join_all"])
+@pytest.mark.parametrize("name", ["fn_walk_nested_leaves", "rule_theta_join_all", "rebac_closure_chains"])
 def test_equals_its_sql(spark, name):
     with duckdb.connect() as db:
         for p in Path(DATA).glob("*.parquet"):
