@@ -116,16 +116,17 @@ d AS (SELECT doc_id, {_NORMAL} AS w FROM documents),
 ish AS (SELECT item_id, n, k, unnest(list_transform(range(0, n - k + 1), lambda p: struct_pack(p := p, s := array_to_string(w[p + 1:p + k], ' '))), recursive := true) FROM i),
 dsh AS (SELECT doc_id, k, unnest(list_transform(range(0, greatest(len(w) - k + 1, 0)), lambda p: struct_pack(p := p, s := array_to_string(w[p + 1:p + k], ' '))), recursive := true)
         FROM d, (SELECT DISTINCT k FROM i)),
-seed AS (SELECT DISTINCT dsh.doc_id, ish.item_id, ish.n, ish.k, greatest(dsh.p - ish.p, 0) AS start FROM dsh JOIN ish USING (k, s)),
-inside AS (SELECT seed.doc_id, seed.item_id, seed.start, seed.n, seed.k, dsh.s, count(*) AS c
-           FROM seed JOIN dsh ON dsh.doc_id = seed.doc_id AND dsh.k = seed.k AND dsh.p BETWEEN seed.start AND seed.start + seed.n - seed.k
-           GROUP BY ALL),
-icount AS (SELECT item_id, s, count(*) AS c FROM ish GROUP BY ALL),
-sim AS (SELECT a.doc_id, a.item_id, a.start, sum(least(a.c, coalesce(b.c, 0)))::BIGINT AS shared, sum(a.c) + any_value(a.n - a.k + 1) AS total
-        FROM inside a LEFT JOIN icount b ON a.item_id = b.item_id AND a.s = b.s GROUP BY ALL)
+last AS (SELECT doc_id, k, max(p) AS last FROM dsh GROUP BY ALL),
+icount AS (SELECT item_id, n, k, n - k + 1 AS m, s, count(*) AS times FROM ish GROUP BY ALL),
+hit AS (SELECT DISTINCT dsh.doc_id, icount.item_id, icount.m, icount.times, last.last, s, dsh.p
+        FROM dsh JOIN icount USING (k, s) JOIN last ON last.doc_id = dsh.doc_id AND last.k = dsh.k),
+inside AS (SELECT doc_id, item_id, m, last, w, s, least(count(*), any_value(times)) AS c
+           FROM (SELECT *, unnest(range(p - m + 1, p + 1)) AS w FROM hit) GROUP BY doc_id, item_id, m, last, w, s),
+sim AS (SELECT doc_id, item_id, greatest(w, 0) AS start, sum(c)::BIGINT AS shared, any_value(least(w + m - 1, last) - greatest(w, 0) + 1 + m) AS total
+        FROM inside GROUP BY doc_id, item_id, w)
 SELECT doc_id, item_id, shared, round(2.0 * shared / total, 9) AS similarity, start::BIGINT AS start_word
 FROM sim WHERE 200 * shared >= 80 * total
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / total DESC, start) = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / total DESC, start, shared DESC) = 1
 """,
     "op6_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),

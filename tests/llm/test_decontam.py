@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -15,24 +16,28 @@ def _shingles(words, k):
 
 
 def brute(docs, items, shingle=5, percent=80):
-    """Windows where a shared shingle puts them, compared as multisets."""
+    """Every window: what lies in the document of any span of the item's length, compared as multisets."""
     out = {}
     for d, text in docs:
         w = _words(text)
         for i, item in items:
             iw = _words(item)
-            if not iw:
+            if not iw or not w:
                 continue
             k = min(len(iw), shingle)
-            want, own = _shingles(iw, k), _shingles(w, k)
-            starts = {max(p - o, 0) for p, s in enumerate(own) for o, x in enumerate(want) if s == x}
-            for start in sorted(starts):
-                got = _shingles(w[start : start + len(iw)], k)
-                shared = sum(min(got.count(s), want.count(s)) for s in set(want))
-                if 200 * shared >= percent * (len(got) + len(want)):
-                    best = out.get((d, i))
-                    if best is None or (2 * shared / (len(got) + len(want)), -start) > best:
-                        out[d, i] = (2 * shared / (len(got) + len(want)), -start)
+            want, own = Counter(_shingles(iw, k)), _shingles(w, k)
+            if not want.keys() & set(own):
+                continue
+            m = sum(want.values())
+            best = None
+            for start in range(1 - m, len(own)):
+                got = own[max(start, 0) : start + m]
+                shared = sum((Counter(got) & want).values())
+                if 200 * shared >= percent * (len(got) + m):
+                    found = (2 * shared / (len(got) + m), -max(start, 0))
+                    best = found if best is None else max(best, found)
+            if best is not None:
+                out[d, i] = best
     return out
 
 
@@ -77,13 +82,13 @@ def test_filter_null_ids_and_empty_tables(spark):
 def test_blocks_find_all_within_the_radius(spark):
     """Flip exactly ``radius`` random bits: some block always stays equal."""
     rng = random.Random(1)
-    bounds = decontam.block_bounds(28)
-    assert sum(w for _, w in bounds) == 64 and len(bounds) == 29
+    bounds = decontam.block_bounds(46)
+    assert sum(w for _, _, w in bounds) == 128 and len(bounds) == 47
     for _ in range(2000):
-        x = 0
-        for b in rng.sample(range(64), 28):
-            x |= 1 << b
-        assert any((x >> a) & ((1 << w) - 1) == 0 for a, w in bounds)
+        x = [0, 0]
+        for b in rng.sample(range(128), 46):
+            x[b // 64] |= 1 << b % 64
+        assert any((x[i] >> a) & ((1 << w) - 1) == 0 for i, a, w in bounds)
 
 
 def test_main_path_has_no_python(spark):
@@ -101,3 +106,27 @@ def test_repeated_shingles_do_not_hide_a_window(spark):
     assert len(want) == 12
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id): (pytest.approx(r.similarity), -r.start_word) for r in decontam.matches(d, b).collect()} == want
+
+
+def test_windows_that_no_shared_shingle_aligns(spark):
+    """Halves in the other order, items cut at either end of a text, an item spread by added words: brute force over all windows."""
+    rng = random.Random(4)
+    name = lambda i, n: [f"q{i}x{j}" for j in range(n)]
+    filler = [f"f{i}" for i in range(100)]
+    items, docs = [], []
+    for i in range(8):
+        n = 40 + 9 * i
+        a, b = name(i, n), name(i + 100, n)
+        items.append((i, " ".join(a + b)))
+        docs.append((10 * i, " ".join(filler + b + a + filler)))
+        docs.append((10 * i + 1, " ".join((a + b)[: int(1.5 * n)])))
+        docs.append((10 * i + 2, " ".join(filler + (a + b)[: int(1.4 * n)])))
+        docs.append((10 * i + 3, " ".join((a + b)[int(0.55 * n) :] + filler)))
+        spread = a + b
+        for _ in range(3):
+            spread.insert(rng.randrange(len(spread)), "zz")
+        docs.append((10 * i + 4, " ".join(filler + spread + filler)))
+    want = brute(docs, items)
+    assert len(want) > 20 and all((10 * i, i) in want for i in range(8))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): (pytest.approx(r.similarity), -r.start_word) for r in decontam.matches(d, b).collect()} == want
