@@ -45,7 +45,8 @@ def op5_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("spans")
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=400, passage=51)
+    return found.drop("spans")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +129,7 @@ SELECT doc_id, item_id, shared, round(2.0 * shared / total, 9) AS similarity, st
 FROM sim WHERE 200 * shared >= 80 * total
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / total DESC, start, shared DESC) = 1
 """,
-    "op6_suffix_dedup": """
+    "op6_suffix_dedup": f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
 w AS (SELECT doc_id, s, hash(substr(h, 2 * s + 1, 800)) AS m FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 399, 0))) AS s FROM d)),
 hit AS (SELECT doc_id, s FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
@@ -137,9 +138,12 @@ run AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS b
         FROM (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM step) GROUP BY doc_id, g),
 gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM run
         UNION ALL SELECT d.doc_id, coalesce(r.b, 0), n FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM run GROUP BY doc_id) r USING (doc_id)),
+ws AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+ww AS (SELECT doc_id, p, hash(ws[p + 1:p + 51]) AS m FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 50, 0))) AS p FROM ws)),
+wp AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(p, p + 51)) AS p FROM ww WHERE m IN (SELECT m FROM ww GROUP BY m HAVING count(*) > 1)) GROUP BY doc_id),
 kept AS (SELECT doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY a) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT d.doc_id, n AS n_bytes, coalesce(r.removed, 0)::BIGINT AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
-FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM run GROUP BY doc_id) r USING (doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(r.removed, 0)::BIGINT AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256, coalesce(wp.n, 0)::BIGINT AS n_passage_words
+FROM d JOIN kept USING (doc_id) LEFT JOIN wp USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM run GROUP BY doc_id) r USING (doc_id)
 """,
     "op7_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),

@@ -19,7 +19,7 @@ The strings so found are exactly the repeated ones, up to collisions of 64-bit n
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import chunks as ck
 from lodestar.llm.storage import discard, materialize
-from lodestar.llm.text import MIX1, STEP, column, mix64, releasing, slices, texts_of
+from lodestar.llm.text import MIX1, STEP, column, mix64, releasing, slices, texts_of, words_of
 
-GRAM = 32
+GRAM, WORD_GRAM = 32, 8
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -47,13 +47,14 @@ def doubled(h: np.ndarray, m: int) -> np.ndarray:
 
 
 class Names:
-    """Names of every position of a byte array at lengths GRAM, and of chosen positions at any longer length."""
+    """Names of every position of an array of bytes or word hashes at powers of 2 from ``gram`` on, and of chosen
+    positions at any longer length."""
 
-    def __init__(self, data: np.ndarray, longest: int):
-        self.level, h, m = {}, _BYTE[data], 1
+    def __init__(self, data: np.ndarray, longest: int, gram: int):
+        self.level, h, m = {}, _BYTE[data] if data.dtype == np.uint8 else mix64(data), 1
         while m * 2 <= longest and len(h) > m:
             h, m = doubled(h, m), 2 * m
-            if m >= GRAM:
+            if m >= gram:
                 self.level[m] = h
 
     def at(self, positions: np.ndarray, length: int) -> np.ndarray:
@@ -76,16 +77,16 @@ def window_minima(h: np.ndarray, window: int) -> np.ndarray:
     return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def segments(data: np.ndarray, sizes: np.ndarray, length: int, window: int) -> tuple[Names, np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, sizes: np.ndarray, length: int, window: int, gram: int) -> tuple[Names, np.ndarray, np.ndarray, np.ndarray]:
     """(names, tests, places, first): the last start of each segment (and each document's first start), with its
-    p(start); ``first`` marks a document's first start. Starts are those with ``length`` bytes of their document left."""
-    names = Names(data, length)
+    p(start); ``first`` marks a document's first start. Starts are those with ``length`` units of their document left."""
+    names = Names(data, length, gram)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     if not (sizes >= length).any():
         none = np.zeros(0, np.int64)
         return names, none, none, np.zeros(0, bool)
-    p = window_minima(names.level[GRAM], window)
+    p = window_minima(names.level[gram], window)
     edge = np.zeros(len(data) + 1, np.int8)
     long = sizes >= length
     edge[starts[long]] += 1
@@ -219,34 +220,51 @@ def chunk_texts(docs: DataFrame, limit: int) -> DataFrame:
     return materialize(source.mapInArrow(releasing(run), "chunk long, n_docs long, doc_ids array<long>, sizes binary, size long, blob binary"), "suffix-text")
 
 
+Read = Callable[[dict], tuple[np.ndarray, np.ndarray]]
+
+
 def _text(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's bytes, and how many each document has."""
     data = pa.decompress(row["blob"], decompressed_size=row["size"], codec="zstd", asbytes=True) if row["size"] else b""
     return np.frombuffer(data, np.uint8), ck.unpack(row["sizes"], np.int64, row["n_docs"])
 
 
+def _words(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's words (A-Z lower-cased) as hashes, and how many each document has."""
+    data, sizes = _text(row)
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    texts = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+    w = words_of(texts)
+    return w.hashes()[w.codes], np.diff(w.offsets)
+
+
+def covered(hits: list[dict], size: int, length: int) -> np.ndarray:
+    """Which of ``size`` units some string of ``length`` units covers that starts at a place found."""
+    edge = np.zeros(size + 1, np.int32)
+    for r in hits:
+        at = np.cumsum(ck.unpack(r["found"], np.int64, r["m"]))
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def _rows(schema: pa.Schema, rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 2 << 20, with_text: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, the remaining bytes).
+def repeated_starts(texts: DataFrame, read: Read, length: int, half: int, gram: int) -> DataFrame:
+    """(chunk, m, found): where strings of ``length`` units start, whole in one document, that start elsewhere as well.
 
-    Every whole text counts as UTF-8 bytes; strings never cross documents and overlapping occurrences count. Null
-    and empty texts have nothing to remove. Null ids and repeated rows are documents of their own (so repeated rows
-    of ``length`` bytes remove each other whole). An empty table gives an empty table; other columns are not read.
-    """
-    half = length // 2
-    window = half - GRAM + 1  # p(s) and its half name end inside the string that begins at s
-    if length < 4 * GRAM:
-        raise ValueError(f"length must be at least {4 * GRAM}")
-    texts = chunk_texts(docs, chunk_bytes)
+    ``read`` gives a chunk's units (bytes or words). Names of ``half`` units are counted at the smallest name of ``gram``
+    units of a window, as described above."""
+    window = half - gram + 1 if half > gram else length - gram + 1  # p(s) and its half name end inside the string that begins at s
     tested = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("tests", pa.binary()), ("first", pa.binary()), ("names", pa.binary())])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data, sizes = _text(row)
-                names, tests, places, first = segments(data, sizes, length, window)
+                data, sizes = read(row)
+                names, tests, places, first = segments(data, sizes, length, window, gram)
                 both = np.concatenate((names.at(places, half), names.at(tests, length)))
                 out = {"chunk": row["chunk"], "n": len(tests), "tests": ck.pack(np.diff(tests, prepend=0)), "first": np.packbits(first).tobytes(), "names": both.tobytes()}
                 yield pa.RecordBatch.from_pylist([out], schema=tested)
@@ -352,8 +370,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 2 << 2
             lo = np.cumsum(ck.unpack(r["lo"], np.int64, r["n"]))
             size = ck.unpack(r["hi"], np.int64, r["n"]) + 1
             starts = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            data, _ = _text(row)
-            keys = Names(data, length).at(starts, length)
+            data, _ = read(row)
+            keys = Names(data, length, gram).at(starts, length)
             out.append({"chunk": row["chunk"], "n": len(starts), "starts": ck.pack(np.diff(starts, prepend=0)), "keys": keys.tobytes()})
         return _rows(counted, out)
 
@@ -383,27 +401,50 @@ def remove_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 2 << 2
     settled = left.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(settle, "chunk long, m long, found binary")
     found = materialize(settled.unionByName(plans.select("chunk", "m", "found")).filter("m > 0"), "suffix-found")
     discard(expanded, ranks, plans)
+    return found
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 0, chunk_bytes: int = 2 << 20, with_text: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, the remaining bytes).
+
+    Every whole text counts as UTF-8 bytes; strings never cross documents and overlapping occurrences count. Null
+    and empty texts have nothing to remove. Null ids and repeated rows are documents of their own (so repeated rows
+    of ``length`` bytes remove each other whole). An empty table gives an empty table; other columns are not read.
+    With ``passage``, the column n_passage_words tells how many words lie in runs of that many words that also start
+    elsewhere, however few bytes they have; nothing is removed for it.
+    """
+    if length < 4 * GRAM:
+        raise ValueError(f"length must be at least {4 * GRAM}")
+    if passage and passage < 2 * WORD_GRAM:
+        raise ValueError(f"passage must be at least {2 * WORD_GRAM}")
+    texts = chunk_texts(docs, chunk_bytes)
+    found = repeated_starts(texts, _text, length, length // 2, GRAM).withColumn("unit", F.lit("byte"))
+    if passage:
+        found = found.unionByName(repeated_starts(texts, _words, passage, WORD_GRAM, WORD_GRAM).withColumn("unit", F.lit("word")))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    final = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", span)] + [("kept", pa.binary())] * with_text
+    final = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", span)]
+    final += [("n_passage_words", pa.int64())] * (passage > 0) + [("kept", pa.binary())] * with_text
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[dict] = []
         for row in left.to_pylist():
             data, sizes = _text(row)
-            edge = np.zeros(len(data) + 1, np.int32)
-            for r in right.to_pylist():
-                at = np.cumsum(ck.unpack(r["found"], np.int64, r["m"]))
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            hits = right.to_pylist()
+            gone = covered([r for r in hits if r["unit"] == "byte"], len(data), length)
             ends = np.cumsum(sizes)
-            for doc_id, a, b in zip(row["doc_ids"], (ends - sizes).tolist(), ends.tolist(), strict=True):
+            extra: list[dict] = [{}] * len(sizes)
+            if passage:
+                words = _words(row)[1] if any(r["unit"] == "word" for r in hits) else np.zeros(len(sizes), np.int64)
+                inside = np.append(0, np.cumsum(covered([r for r in hits if r["unit"] == "word"], int(words.sum()), passage)))
+                last = np.cumsum(words)
+                extra = [{"n_passage_words": n} for n in (inside[last] - inside[last - words]).tolist()]
+            for doc_id, a, b, more in zip(row["doc_ids"], (ends - sizes).tolist(), ends.tolist(), extra, strict=True):
                 g = gone[a:b]
                 turns = np.flatnonzero(np.diff(np.concatenate(([False], g, [False])).astype(np.int8))).tolist()
                 kept = data[a:b][~g].tobytes()
                 record = {"doc_id": doc_id, "n_bytes": b - a, "n_removed": int(g.sum()), "n_spans": len(turns) // 2, "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2], strict=True)]}
-                out.append(record | ({"kept": kept} if with_text else {}))
+                out.append(record | more | ({"kept": kept} if with_text else {}))
         return _rows(pa.schema(final), out)
 
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * with_text
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", n_passage_words long" * (passage > 0) + ", kept binary" * with_text
     return texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(cut, ddl)

@@ -53,3 +53,19 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = suffix.remove_repeats(docs, length=128, with_text=True).collect()
     assert sorted((r.doc_id or 0, r.n_removed, bytes(r.kept)) for r in rows) == [(0, len(text), b""), (4, len(text), b""), (4, len(text), b""), (5, 0, b"x")]
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed, chunk", [(5, 1 << 20), (6, 2000)])
+def test_passages_of_words(spark, seed, chunk):
+    """Words in runs of 20 that also start elsewhere, whatever their bytes."""
+    texts = _texts(seed, 128) + ["A b\tC " * 15, None, "", " ".join(f"w{i}" for i in range(20)), "x " + " ".join(f"W{i}" for i in range(20)) + " y"]
+    words = [(t or "").lower().split() for t in texts]
+    seen = Counter(tuple(w[i : i + 20]) for w in words for i in range(len(w) - 19))
+    want = []
+    for w in words:
+        inside = {j for i in range(len(w) - 19) if seen[tuple(w[i : i + 20])] > 1 for j in range(i, i + 20)}
+        want.append(len(inside))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: (r.n_passage_words, r.n_removed) for r in suffix.remove_repeats(docs, length=128, passage=20, chunk_bytes=chunk).collect()}
+    assert [rows[i][0] for i in range(len(texts))] == want and want[-1] == 20
+    assert [rows[i][1] for i in range(len(texts))] == [r[1] for r in _brute(texts, 128)]
