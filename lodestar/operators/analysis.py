@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.values import Undefined, plain
 from lodestar.plans.evaluate import ConflictError, Engine
+from lodestar.plans.relational import Planner, Table
 from lodestar.functions.documents import merge_right
 
 
@@ -48,6 +49,18 @@ def batch_query(engine: Engine, path: str, inputs: dict[str, Any], common: Any =
     return {"status": status, "responses": responses}
 
 
+def batch_rules(modules: list[str], path: str, inputs: DataFrame, ids: list[str], tables: Mapping[str, Table | DataFrame] | None = None) -> DataFrame:
+    """``inputs`` with result and error of a complete rule: one plan for all rows; a row's error is its own."""
+    return Planner(modules, tables or {}).decide(path, inputs, ids, "result", errors="error")
+
+
+def impact_rules(primary: list[str], secondary: list[str], path: str, inputs: DataFrame, ids: list[str], tables: Mapping[str, Table | DataFrame] | None = None, equals: bool = False) -> DataFrame:
+    """Inputs with value_a and value_b of two rule sets where they differ (or all, with ``equals``)."""
+    first = Planner(primary, tables or {}).decide(path, inputs, ids, "value_a")
+    both = Planner(secondary, tables or {}).decide(path, first, ids, "value_b")
+    return both if equals else both.filter(~F.col("value_a").eqNullSafe(F.col("value_b")))
+
+
 def sampled(df: DataFrame, rate: float, key: str) -> DataFrame:
     """The same rows on every run: those whose key hashes below the rate."""
     return df if rate >= 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(rate * 1_000_000))

@@ -11,21 +11,6 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.lineage import cut
 
-#: The same decision as a rule: tables ``users`` (user, roles) and ``roles`` (role, permissions).
-RBAC = """
-package rbac
-
-default allow := false
-
-allow if {
-    some held in data.users[input.user]
-    some grant in data.roles[held]
-    input.resource == grant.resource
-    input.action == grant.action
-}
-"""
-
-
 def rbac_decisions(requests: DataFrame, user_roles: DataFrame, role_permissions: DataFrame, name: str = "allow") -> DataFrame:
     """requests (user, action, resource, ...) with a boolean: some role of the user has the permission.
 

@@ -88,10 +88,11 @@ class Planner:
         clash = F.concat(F.lit(f"object key of {path} has several values: "), F.to_json(F.struct(*keys)))
         return one.select(*keys, F.when(F.col("n") > 1, F.raise_error(clash)).otherwise(F.col("value")).alias("value"))
 
-    def decide(self, path: str, inputs: DataFrame, ids: list[str], name: str = "decision") -> DataFrame:
+    def decide(self, path: str, inputs: DataFrame, ids: list[str], name: str = "decision", errors: str | None = None) -> DataFrame:
         """``inputs`` with the value of a complete rule for each row (``ids`` identify rows); NULL where undefined.
 
-        Several bodies may hold at once: different values for one row raise an error."""
+        Several bodies may hold at once: different values for one row raise an error, or, where ``errors`` names a
+        column, become a message there for that row alone."""
         path = path.removeprefix("data.")
         rules = self.rules[path]
         start = Step(inputs.select(F.struct("*").alias("input")))
@@ -108,14 +109,22 @@ class Planner:
                 parts.append(step.df.select(*key(step), F.lit(rank).alias("_rank"), value.alias("_value")))
                 at, rank = at.otherwise, rank + 1
         if not parts:
-            return inputs.withColumn(name, default)
+            out = inputs.withColumn(name, default)
+            return out.withColumn(errors, F.lit(None).cast("string")) if errors else out
         found = reduce(lambda a, b: a.unionByName(b), parts).distinct()
         best = found.groupBy(*ids).agg(F.min("_rank").alias("_best"), F.collect_set(F.struct("_rank", "_value")).alias("_all"))
         values = F.array_distinct(F.transform(F.filter("_all", lambda x: x["_rank"] == F.col("_best")), lambda x: x["_value"]))
-        one = F.when(F.size(values) > 1, F.raise_error(F.lit(f"complete rule {path} has several values"))).otherwise(F.get(values, F.lit(0)))
-        decided = best.select(*ids, one.alias("_decision"))
+        several = F.lit(f"complete rule {path} has several values")
+        value = F.get(values, F.lit(0))
+        if errors is None:
+            decided = best.select(*ids, F.when(F.size(values) > 1, F.raise_error(several)).otherwise(value).alias("_decision"))
+        else:
+            decided = best.select(*ids, F.when(F.size(values) == 1, value).alias("_decision"), F.when(F.size(values) > 1, several).alias("_error"))
         out = inputs.join(decided, ids, "left")
-        return out.select(*[inputs[c] for c in inputs.columns], F.coalesce("_decision", default).alias(name))
+        own = [inputs[c] for c in inputs.columns]
+        if errors is None:
+            return out.select(*own, F.coalesce("_decision", default).alias(name))
+        return out.select(*own, F.when(F.col("_error").isNull(), F.coalesce("_decision", default)).alias(name), F.col("_error").alias(errors))
 
     # -- heads
     def head(self, r: Rule, step: Step) -> tuple[list[Column], Step]:

@@ -54,7 +54,7 @@ _filtered("filter_gte", "lineitem", {"l_quantity": {"gte": 45}}, _LINE, "l_quant
 _filtered("filter_ge_synonym", "lineitem", {"l_quantity": {"ge": 48}}, _LINE, "l_quantity >= 48")
 _filtered("filter_in", "orders", {"o_orderpriority": {"in": ["1-URGENT", "2-HIGH"]}}, ["o_orderkey", "o_orderpriority"], "o_orderpriority IN ('1-URGENT', '2-HIGH')")
 _filtered("filter_nin", "orders", {"o_orderpriority": {"nin": ["1-URGENT", "2-HIGH"]}}, ["o_orderkey", "o_orderpriority"], "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
-_filtered("filter_startswith", "part", {"p_name": {"startswith": "a"}}, ["p_partkey", "p_name"], "starts_with(p_name, 'a')")
+_filtered("filter_startswith", "part", {"p_name": {"startswith": "red b"}}, ["p_partkey", "p_name"], "starts_with(p_name, 'red b')")
 _filtered("filter_endswith", "part", {"p_name": {"endswith": "e"}}, ["p_partkey", "p_name"], "ends_with(p_name, 'e')")
 _filtered("filter_contains", "part", {"p_type": {"contains": "R"}}, ["p_partkey", "p_type"], "contains(p_type, 'R')")
 _filtered("filter_contains_literal_wildcards", "pages", {"or": [{"html": {"contains": "%"}}, {"html": {"contains": "_"}}]}, ["page_id", "url"], "contains(html, '%') OR contains(html, '_')")
@@ -610,6 +610,37 @@ def batch_query(spark, sf_dir):
     return out.select("event_id", "result", "error", "event_type", "currency")
 
 
+BANDS_RULE = """
+package bands
+
+size := "small" if input.value < 60
+
+size := "large" if input.value > 40
+
+size := "none" if input.event_type == "view"
+"""
+
+
+@query("""SELECT event_id, CASE WHEN len(s) = 1 THEN s[1] END AS result, CASE WHEN len(s) > 1 THEN 'several values' END AS error FROM (
+  SELECT event_id, list_filter([CASE WHEN value < 60 THEN 'small' END, CASE WHEN value > 40 THEN 'large' END, CASE WHEN event_type = 'view' THEN 'none' END], lambda x: x IS NOT NULL) AS s FROM events)""")
+def batch_rules(spark, sf_dir):
+    """A rule's text over all events at once; an input that gives two values has an error of its own."""
+    out = analysis.batch_rules([BANDS_RULE], "bands.size", t(spark, sf_dir, "events").select("event_id", "event_type", "value"), ["event_id"])
+    return out.select("event_id", "result", F.when(F.col("error").isNotNull(), "several values").alias("error"))
+
+
+@query("""SELECT o_orderkey, value_a, value_b FROM (
+  SELECT o_orderkey, o_totalprice > 100000 AND o_orderstatus <> 'P' AS value_a, o_totalprice > 150000 OR c_mktsegment = 'MACHINERY' AS value_b
+  FROM orders JOIN customer ON c_custkey = o_custkey) WHERE value_a <> value_b""")
+def impact_rules(spark, sf_dir):
+    """Where two rule sets, given as text, decide differently."""
+    first = "package check\n\ndefault held := false\n\nheld if { input.o_totalprice > 100000; input.o_orderstatus != \"P\" }"
+    second = "package check\n\ndefault held := false\n\nheld if input.o_totalprice > 150000\n\nheld if data.buyers[input.o_custkey] == \"MACHINERY\""
+    o, c = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    rows = analysis.impact_rules([first], [second], "check.held", o, ["o_orderkey"], {"buyers": Table(c, "c_custkey")})
+    return rows.select("o_orderkey", "value_a", "value_b")
+
+
 @query("SELECT count(*) AS total, sum((value < 50)::INT)::BIGINT AS failed, CASE WHEN sum((value < 50)::INT) = 0 THEN 200 WHEN sum((value < 50)::INT) = count(*) THEN 500 ELSE 207 END AS status FROM events")
 def batch_status(spark, sf_dir):
     e = t(spark, sf_dir, "events")
@@ -708,15 +739,29 @@ def rbac_allow(spark, sf_dir):
     return relations.rbac_decisions(requests, user_roles, grants).select("o_orderkey", "allow")
 
 
+DUTY_RULE = """
+package duty
+
+default covered := false
+
+covered if {
+    segment := data.buyers[input.o_custkey]
+    some duty in data.duties
+    duty.c_mktsegment == segment
+    duty.o_orderpriority == input.o_orderpriority
+    duty.o_orderstatus == input.o_orderstatus
+}
+"""
+
+
 @query(ORACLES["rbac_allow"])
 def rbac_rule_text(spark, sf_dir):
-    """The same decisions from the rule's text, planned as joins."""
+    """The same decisions from a rule's text over flat grants: the plan joins requests, buyers and grants on their keys."""
     c, o = t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders")
-    users = c.select(F.col("c_custkey").alias("user"), F.array("c_mktsegment").alias("roles"))
-    grants = o.filter("o_totalprice > 250000").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("role")).agg(F.collect_set(F.struct(F.col("o_orderpriority").alias("action"), F.col("o_orderstatus").alias("resource"))).alias("permissions"))
-    requests = o.select("o_orderkey", F.col("o_custkey").alias("user"), F.col("o_orderpriority").alias("action"), F.col("o_orderstatus").alias("resource"))
-    planner = Planner([relations.RBAC], {"users": Table(users, "user"), "roles": Table(grants, "role")})
-    return planner.decide("rbac.allow", requests, ["o_orderkey"], "allow").select("o_orderkey", "allow")
+    duties = o.filter("o_totalprice > 250000").join(c, F.col("o_custkey") == F.col("c_custkey")).select("c_mktsegment", "o_orderpriority", "o_orderstatus").distinct()
+    requests = o.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    planner = Planner([DUTY_RULE], {"buyers": Table(c.select("c_custkey", "c_mktsegment"), "c_custkey"), "duties": Table(duties)})
+    return planner.decide("duty.covered", requests, ["o_orderkey"], "allow").select("o_orderkey", "allow")
 
 
 # -- external stores over tables

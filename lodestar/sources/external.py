@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators.catalog import Memo
+from lodestar.plans.conditions import quote
 
 _memos: dict[float, Memo] = {}
 
@@ -43,8 +44,19 @@ def _run(name: str, request: Mapping, compute: Callable[[], dict]) -> dict:
         return {"error": {"message": str(e), "type": type(e).__name__}}
 
 
+#: Rows that a request may bring to the driver; more raise an error (the ``*_frame`` forms stay distributed).
+MAX_ROWS = 100_000
+
+
+def bounded(df: DataFrame) -> list:
+    rows = df.take(MAX_ROWS + 1)
+    if len(rows) > MAX_ROWS:
+        raise RequestError(f"the result has more than {MAX_ROWS} rows; use the DataFrame form")
+    return rows
+
+
 def _rows(df: DataFrame, objects: bool) -> list:
-    return [r.asDict(recursive=True) if objects else list(r) for r in df.collect()]
+    return [r.asDict(recursive=True) if objects else list(r) for r in bounded(df)]
 
 
 DRIVERS = {"postgres": "org.postgresql.Driver", "mysql": "com.mysql.cj.jdbc.Driver", "sqlite": "org.sqlite.JDBC", "snowflake": "net.snowflake.client.jdbc.SnowflakeDriver", "sqlserver": "com.microsoft.sqlserver.jdbc.SQLServerDriver", "oracle": "oracle.jdbc.OracleDriver"}
@@ -57,12 +69,36 @@ def sql_frame(spark: SparkSession, request: Mapping) -> DataFrame:
         return spark.sql(request["query"], args=args or None)
     if request["driver"] not in DRIVERS:
         raise RequestError(f"unknown driver {request['driver']}")
-    query = re.sub(r"\?|\$\d+", lambda m, it=iter(args): _literal(next(it)), request["query"]) if args else request["query"]
+    query = with_args(request["query"], args, request["driver"])
     return spark.read.format("jdbc").options(url=request["data_source_name"], driver=DRIVERS[request["driver"]], query=query).load()
 
 
-def _literal(v: Any) -> str:
-    return "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + str(v).replace("'", "''") + "'"
+_SQL_TOKEN = re.compile(r"""'(?:[^'\\]|''|\\.)*'|"(?:[^"]|"")*"|`[^`]*`|--[^\n]*|/\*.*?\*/|\?|\$\d+|.""", re.S)
+
+
+def with_args(query: str, args: list, driver: str) -> str:
+    """The query with arguments as literals of the driver's dialect: ``?`` in their order, ``$n`` by number.
+
+    Strings, quoted names and comments stay as they are. Arguments too few or too many are an error."""
+    used: set[int] = set()
+
+    def put(m: re.Match) -> str:
+        token = m[0]
+        if token == "?":
+            at = len(used)
+        elif token[0] == "$" and len(token) > 1:
+            at = int(token[1:]) - 1
+        else:
+            return token
+        if not 0 <= at < len(args):
+            raise RequestError(f"no argument for {token}")
+        used.add(at)
+        return quote(args[at], driver)
+
+    out = _SQL_TOKEN.sub(put, query) if args else query
+    if len(used) != len(args):
+        raise RequestError(f"{len(args)} arguments, {len(used)} of them used")
+    return out
 
 
 def sql_send(spark: SparkSession, request: Mapping) -> dict:
@@ -223,7 +259,7 @@ def _sorted(c: Column) -> Column:
 
 REDIS: dict[str, Callable[..., Column]] = {
     "get": lambda v: v,
-    "getrange": lambda v, a, b: F.substring(v, F.lit(a + 1), F.lit(max(0, b - a + 1))) if a >= 0 and b >= 0 else F.expr("NULL"),
+    "getrange": lambda v, a, b: _bytes_between(v, a, b),
     "strlen": lambda v: F.octet_length(v),
     "mget": lambda *vs: F.array(*vs),
     "lindex": lambda v, i: F.get(v, F.lit(i) if i >= 0 else F.size(v) + i),
@@ -249,6 +285,14 @@ REDIS: dict[str, Callable[..., Column]] = {
 }
 
 
+def _bytes_between(v: Column, a: int, b: int) -> Column:
+    """Bytes a to b, both included; negative places count from the end."""
+    n = F.octet_length(v)
+    place = lambda i: F.lit(i) if i >= 0 else F.greatest(n + i, F.lit(0))
+    data = F.substring(v.cast("binary"), place(a) + 1, F.greatest(F.least(place(b), n - 1) - place(a) + 1, F.lit(0)))
+    return F.decode(data, "UTF-8")
+
+
 def _from(v: Column, i: int) -> Column:
     return F.lit(i) if i >= 0 else F.greatest(F.size(v) + i, F.lit(0))
 

@@ -144,6 +144,23 @@ def test_sql_send(spark):
         external.sql_send(spark, {**request, "what": 1})
 
 
+def test_sql_args():
+    put = external.with_args
+    assert put("SELECT '?', \"$1\" -- ? $2\nFROM t /* $1 */ WHERE a = $2 AND b = $1 AND c = $1", [1, "o'k"], "postgres") == "SELECT '?', \"$1\" -- ? $2\nFROM t /* $1 */ WHERE a = E'o\\'k' AND b = 1 AND c = 1"
+    assert put("a = ? OR b = ?", ["\\' OR 1=1 -- ", None], "mysql") == "a = '\\\\\\' OR 1=1 -- ' OR b = NULL"
+    assert put("a = ? OR b = ?", [True, "x'y"], "sqlserver") == "a = 1 OR b = N'x''y'"
+    for query, args in (("a = ?", [1, 2]), ("a = ? AND b = ?", [1]), ("a = $3", [1])):
+        with pytest.raises(external.RequestError):
+            put(query, args, "postgres")
+
+
+def test_results_for_the_driver_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(external, "MAX_ROWS", 2)
+    spark.range(3).createOrReplaceTempView("three")
+    with pytest.raises(external.RequestError):
+        external.sql_send(spark, {"driver": "spark", "query": "SELECT id FROM three"})
+
+
 def test_document_stores(spark):
     df = spark.createDataFrame([("x", 1, "s1"), ("x", 2, "s2"), ("y", 3, None)], "p string, s int, v string")
     assert external.dynamodb_get(df, {"key": {"p": {"S": "x"}, "s": {"N": "2"}}}) == {"row": {"p": "x", "s": 2, "v": "s2"}}
@@ -163,6 +180,7 @@ def test_redis(spark):
     store = {k: F.col(k) for k in "slht"}
     ask = lambda c, *a: external.redis_query(store, row, {"command": c, "args": list(a)})["results"]
     assert (ask("get", "s"), ask("strlen", "s"), ask("getrange", "s", 1, 3)) == ("hello", 5, "ell")
+    assert [ask("getrange", "s", a, b) for a, b in ((-3, -1), (0, -2), (2, 99), (-99, 1), (3, 1), (9, 9))] == ["llo", "hell", "llo", "he", "", ""]
     assert (ask("lindex", "l", -1), ask("lrange", "l", 1, -1), ask("lpos", "l", "c"), ask("llen", "l")) == ("c", ["b", "c"], 2, 3)
     assert (ask("hget", "h", "f"), ask("hexists", "h", "q"), ask("hmget", "h", "f", "q")) == ("v", False, ["v", None])
     assert (ask("sinter", "l", "t"), ask("sunion", "l", "t"), ask("sdiff", "l", "t"), ask("smismember", "t", "c", "z")) == (["c"], ["a", "b", "c", "d"], ["a", "b"], [True, False])

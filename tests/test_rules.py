@@ -17,12 +17,11 @@ import data.limits as lim
 default allow := false
 
 allow if {
-    some held in data.users[input.user]   # join
-    some grant in data.roles[held]
-    input.action == grant.action
+    zone := data.staff[input.who]   # lookup
+    input.door in data.doors[zone]
 }
 
-allow if input.user == "root"
+allow if input.who == "porter"
 
 kinds contains x if some x in ["b", "a", "b"]
 
@@ -66,7 +65,7 @@ has_entry if "k", 3 in {"k": 3}
 
 ranges := array.slice(numbers.range(5, 1), 1, 3)
 """
-DATA = {"users": {"ann": ["dev"]}, "roles": {"dev": [{"action": "read"}]}, "limits": {"top": 10}}
+DATA = {"staff": {"ann": "lab"}, "doors": {"lab": ["north", "east"]}, "limits": {"top": 10}}
 
 
 @pytest.fixture(scope="module")
@@ -77,9 +76,9 @@ def engine():
 @pytest.mark.parametrize(
     "path, given, want",
     [
-        ("allow", {"user": "ann", "action": "read"}, True),
-        ("allow", {"user": "ann", "action": "write"}, False),
-        ("allow", {"user": "root"}, True),
+        ("allow", {"who": "ann", "door": "east"}, True),
+        ("allow", {"who": "ann", "door": "west"}, False),
+        ("allow", {"who": "porter"}, True),
         ("kinds", None, ["a", "b"]),
         ("sizes", None, {"x": 2, "y": 0}),
         ("nested", None, {1: {10: 11}, 2: {10: 12}}),
