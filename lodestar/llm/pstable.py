@@ -51,70 +51,105 @@ def bucket_keys(x: np.ndarray, tables: int, functions: int, width: float, seed:
     return acc.view(np.int64)
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of a stream that is sorted by ``keys``, each as a table."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of a stream that is sorted by ``keys``, of ``least`` rows or more, with each group's begin."""
     held: list[pa.Table] = []
-    last = None
+    rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        k = np.stack([np.asarray(column(table, name)) for name in keys])
-        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            now = tuple(k[:, a].tolist())
-            if held and now != last:
-                yield pa.concat_tables(held)
-                held = []
-            held.append(table.slice(a, b - a))
-            last = now
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        table = pa.concat_tables(held)
+        begins = group_begins(table, keys)
+        if len(begins) > 1:
+            yield table.slice(0, int(begins[-1])), begins[:-1]
+            table = table.slice(int(begins[-1]))
+        held, rows = [table], table.num_rows
     if held:
-        yield pa.concat_tables(held)
+        table = pa.concat_tables(held)
+        yield table, group_begins(table, keys)
+
 
+def group_begins(table: pa.Table, keys: list[str]) -> np.ndarray:
+    k = np.stack([np.asarray(column(table, name)) for name in keys])
+    return np.append(0, np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1)
 
-def local_roots(linked: np.ndarray) -> np.ndarray:
-    """For each row the smallest row that a symmetric link matrix reaches from it."""
-    n = len(linked)
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each of n rows the row of the smallest rank that the links (a, b) reach from it."""
+    order = np.argsort(rank, kind="stable")
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    u, v = back[a], back[b]
     label = np.arange(n)
     while True:
-        nxt = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1))
+        nxt = label.copy()
+        np.minimum.at(nxt, u, label[v])
+        np.minimum.at(nxt, v, label[u])
         nxt = np.minimum(nxt, nxt[nxt])
         if (nxt == label).all():
-            return label
+            return order[label[back]]
         label = nxt
 
 
-def compare(group: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(vector, links counted here, root here) of the vectors of one block pair that have a link."""
-    if group.num_rows < 2:
-        return None
-    rep = np.asarray(column(group, "rep"))
-    order = np.argsort(rep)
-    rep = rep[order]
-    own, label, m, table = (np.asarray(column(group, c))[order] for c in ("own", "lab", "m", "table"))
-    x = unit(matrix(column(group, "embedding")))[order]
-    i, j = int(column(group, "i")[0].as_py()), int(column(group, "j")[0].as_py())
-    linked = x @ x.T >= cosine
-    np.fill_diagonal(linked, False)
-    linked &= label[:, None] == label[None, :]
-    if i != j:
-        linked &= own[:, None] != own[None, :]
-    if not linked.any():
-        return None
-    a, b = np.nonzero(linked)
-    keys = matrix_of_keys(column(group, "keys"))[order]
-    counts = np.zeros(len(rep), np.int64)
-    for lo in range(0, len(a), 1 << 18):  # a pair counts in the first table that has it
-        p, q = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)]
-        first = (keys[p] == keys[q]).argmax(axis=1) == table[0]
-        np.add.at(counts, p[first], m[q[first]])
-    roots = local_roots(linked)
-    some = linked.any(axis=1)
-    return rep[some], counts[some], rep[roots[some]]
-
-
-def matrix_of_keys(lists: pa.Array) -> np.ndarray:
-    return np.asarray(lists.flatten()).reshape(len(lists), -1)
+class Rows:
+    """The vectors of some block pairs as arrays. ``table`` is the table of keys that each row's bucket belongs to."""
+
+    def __init__(self, group: pa.Table, keys_of):
+        self.rep, self.own, self.label, self.m, self.table, self.i, self.j = (np.asarray(column(group, c)) for c in ("rep", "own", "lab", "m", "table", "i", "j"))
+        self.x = unit(matrix(column(group, "embedding")))
+        self.keys_of = keys_of
+
+    def settle(self, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(vector, links counted here, root here) from the linked pairs of rows p and q."""
+        if not len(p):
+            return None
+        some, place = np.unique(np.concatenate((p, q)), return_inverse=True)
+        a, b = place[: len(p)], place[len(p) :]
+        counts = np.zeros(len(some), np.int64)
+        keys = self.keys_of(self.x[some], self.label[some])
+        for lo in range(0, len(a), 1 << 18):  # a pair counts in the first table that has it
+            u, v = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)]
+            first = (keys[u] == keys[v]).argmax(axis=1) == self.table[some[u]]
+            np.add.at(counts, u[first], self.m[some[v[first]]])
+            np.add.at(counts, v[first], self.m[some[u[first]]])
+        return self.rep[some], counts, self.rep[some[local_roots(len(some), a, b, self.rep[some])]]
+
+    def may_link(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Labels agree, and two blocks are compared across only."""
+        return (self.label[p] == self.label[q]) & ((self.i[p] == self.j[p]) | (self.own[p] != self.own[q])) & (self.rep[p] != self.rep[q])
+
+
+def compare_large(rows: Rows, a: int, b: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of one group of rows [a, b), by a product of matrices."""
+    x = rows.x[a:b]
+    p, q = np.nonzero(np.triu(x @ x.T >= cosine, 1))
+    p, q = p + a, q + a
+    keep = rows.may_link(p, q)
+    return p[keep], q[keep]
+
+
+def compare_small(rows: Rows, begins: np.ndarray, ends: np.ndarray, cosine: float, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of many small groups, all pairs of each one, ``step`` pairs at a time."""
+    sizes = ends - begins
+    at = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    later = np.repeat(ends, sizes) - at - 1
+    bound = np.cumsum(later)
+    out = []
+    for lo in range(0, int(bound[-1]) if len(bound) else 0, step):
+        n = np.arange(lo, min(lo + step, int(bound[-1])))
+        row = np.searchsorted(bound, n, side="right")
+        p = at[row]
+        q = p + 1 + n - (bound[row] - later[row])
+        keep = rows.may_link(p, q)
+        p, q = p[keep], q[keep]
+        near = np.einsum("ij,ij->i", rows.x[p], rows.x[q]) >= cosine
+        out.append((p[near], q[near]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(x[0] for x in out)]), np.concatenate([none, *(x[1] for x in out)])
 
 
 def near_duplicates(
@@ -135,33 +170,49 @@ def near_duplicates(
     classes = materialize(named.groupBy("lab", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "pstable-classes")
     reps = named.withColumnRenamed("vec_id", "rep").join(classes, ["lab", "h1", "h2", "rep"])
 
+    def keys_of(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+        keys = bucket_keys(x, tables, functions, width, seed)
+        return mix64((keys.view(np.uint64) ^ label.view(np.uint64)[:, None]).ravel()).reshape(keys.shape).view(np.int64)
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             e = batch.column("embedding")
             dims = np.diff(np.asarray(e.offsets))
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
-                keys = bucket_keys(unit(matrix(part.column("embedding"))), tables, functions, width, seed)
-                label = np.asarray(part.column("lab")).view(np.uint64)
-                keys = mix64((keys.view(np.uint64) ^ label[:, None]).ravel()).reshape(keys.shape).view(np.int64)
+                keys = keys_of(unit(matrix(part.column("embedding"))), np.asarray(part.column("lab")))
                 yield part.append_column("keys", pa.array(list(keys), pa.list_(pa.int64())))
 
-    cols = reps.select("rep", "lab", "m", "embedding")
+    cols = reps.select("rep", "lab", "h1", "m", "embedding")
     kind = dict(cols.dtypes)["embedding"]
-    keyed = materialize(cols.mapInArrow(hashed, f"rep long, lab long, m long, embedding {kind}, keys array<long>"), "pstable-keys")
+    keyed = materialize(cols.mapInArrow(hashed, f"rep long, lab long, h1 long, m long, embedding {kind}, keys array<long>"), "pstable-keys")
     # several vectors of one id stay apart by class; buckets are cut by the id's hash
-    big = keyed.select(F.explode("keys").alias("key")).groupBy("key").count().filter(F.col("count") > block)
-    big = materialize(big.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "pstable-big")
-    rows = keyed.select("rep", "lab", "m", "embedding", "keys", F.posexplode("keys").alias("table", "key")).join(big, "key", "left")
-    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), "blocks").cast("int"))
+    # buckets of one vector send nothing; the others are cut into blocks before any vector is sent
+    shared = keyed.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1")
+    shared = materialize(shared.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "pstable-shared")
+    names = keyed.select("rep", "lab", "h1", F.posexplode("keys").alias("table", "key")).join(shared, "key")
+    names = names.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), "blocks").cast("int"))
+    names = names.select("rep", "lab", "h1", F.struct("key", "table", "blocks", "own").alias("b")).groupBy("rep", "lab", "h1").agg(F.collect_list("b").alias("buckets"))  # one of each table at most
+    rows = keyed.select("rep", "lab", "h1", "m", "embedding").join(names, ["rep", "lab", "h1"]).select("rep", "lab", "m", "embedding", F.explode("buckets").alias("b")).select("rep", "lab", "m", "embedding", "b.*")
     dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "table", "rep", "lab", "m", "embedding", "keys")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "table", "rep", "lab", "m", "embedding")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for group in runs(batches, ["key", "i", "j"]):
-            if (found := compare(group, cosine)) is not None:
-                held.append(found)
+        for group, begins in whole_groups(batches, ["key", "i", "j"]):
+            ends = np.append(begins[1:], group.num_rows)
+            dims = np.diff(np.asarray(column(group, "embedding").offsets))[begins]  # a key tells the dimension
+            for d in np.unique(dims):
+                sizes = ends - begins
+                take = np.repeat(dims == d, sizes)
+                rows = Rows(group.filter(pa.array(take)), keys_of)
+                own = sizes[dims == d]
+                end = np.cumsum(own)
+                begin = end - own
+                small = own <= 64
+                found = [compare_small(rows, begin[small], end[small], cosine), *(compare_large(rows, a, b, cosine) for a, b in zip(begin[~small].tolist(), end[~small].tolist(), strict=True))]
+                if (links := rows.settle(np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found]))) is not None:
+                    held.append(links)
             if sum(len(x[0]) for x in held) > 50_000:
                 yield _batch(held)
                 held = []
@@ -175,7 +226,7 @@ def near_duplicates(
     per_class = per_class.select("lab", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
     per_vector = named.select("vec_id", "lab", "h1", "h2").join(per_class, ["lab", "h1", "h2"])
     final = materialize(per_vector.groupBy("vec_id").agg(F.sum("n").cast("long").alias("n_links"), F.min("component").alias("component_id")), "pstable-final")
-    discard(named, classes, keyed, big, links, comp)
+    discard(named, classes, keyed, shared, links, comp)
     out = v.select("vec_id").join(final, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
