@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -78,6 +79,7 @@ def discard(*tables: DataFrame | None) -> None:
         spark = t.sparkSession
         delete(spark, path)
     if spark is not None:
+        gc.collect()  # plans that only a cycle of Python objects holds
         spark.sparkContext._jvm.System.gc()
 
 
