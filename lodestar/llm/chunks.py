@@ -45,6 +45,12 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
+def runs(ordered: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, begin, end) of each run of equal values."""
+    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+    return list(zip(ordered[begin].tolist(), begin.tolist(), np.append(begin[1:], len(ordered)).tolist() if len(begin) else [], strict=True))
+
+
 COLUMNS = [("chunk", pa.int64()), ("n_docs", pa.int64()), ("n_words", pa.int64()), ("n_keys", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lang", pa.list_(pa.string())), ("flags", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("keys", pa.binary())]
 _DDL = "chunk long, n_docs long, n_words long, n_keys long, doc_ids array<long>, lang array<string>, flags binary, sizes binary, codes binary, keys binary"
 
@@ -107,17 +113,18 @@ ANSWER = "chunk long, shard long, n long, answer binary"
 
 
 def requests(chunks: DataFrame, shards: int, columns: list[str], make: Callable[[dict], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
-    """For each chunk and shard the chunk's sorted keys there (and a count for each): ``make(row)`` gives both."""
+    """For each chunk and shard the chunk's sorted keys there (and a count for each): ``make(row)`` gives both.
+
+    A shard where a chunk has no key gets no row: there are at most as many rows as keys, however many shards."""
     arrow = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 keys, counts = make(row)
-                cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1, dtype=np.uint64))
                 out = [
-                    {"chunk": row["chunk"], "shard": s, "n": int(b - a), "keys": keys[a:b].tobytes(), "counts": pack(counts[a:b]) if counts is not None else b""}
-                    for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+                    {"chunk": row["chunk"], "shard": s, "n": b - a, "keys": keys[a:b].tobytes(), "counts": pack(counts[a:b]) if counts is not None else b""}
+                    for s, a, b in runs(shard_of(keys, shards).astype(np.int64))
                 ]
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 

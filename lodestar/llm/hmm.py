@@ -11,11 +11,13 @@ whole texts, so that the likelihood is exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,11 +145,13 @@ def _segments(starts: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.nd
 def baum_welch(chunked: DataFrame, states: int, classes: int, rounds: int, segment: int, seed: int = 5) -> Hmm:
     """Train on the flagged documents of a chunk table."""
     model = Hmm.initial(states, classes, seed)
+    size = states + states * states + states * classes
+    fan = max(1, math.isqrt(chunked.count()))
     for _ in range(rounds):
         current = model
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(states + states * states + states * classes)
+            total = np.zeros(size)
             for batch in batches:
                 for row in batch.to_pylist():
                     chunk = ck.Chunk(row)
@@ -155,14 +159,19 @@ def baum_welch(chunked: DataFrame, states: int, classes: int, rounds: int, segme
                     a, b = _segments(starts[chunk.flags], lengths[chunk.flags], segment)
                     start, move, emit, _ = expected_counts(current, seqs, a, b)
                     total += np.concatenate((start, move.ravel(), emit.ravel()))
-            at = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "value"])
+            if total.any():
+                yield pa.record_batch([pa.array([TaskContext.get().partitionId() % fan]), pa.array([total.tobytes()])], names=["branch", "sums"])
 
-        sums = chunked.mapInArrow(releasing(run), "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
-        got = columns(sums)  # states * classes sums at most
+        def together(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x) for x in table.column("sums").to_pylist())
+            return pa.table({"at": pa.array(np.arange(size, dtype=np.int32)), "value": pa.array(total)})
+
+        # a tree: one vector for each task, one for each of ``fan`` branches (the root of the chunks' number), then sums
+        parts = chunked.mapInArrow(releasing(run), "branch long, sums binary").groupBy("branch").applyInArrow(together, "at int, value double")
+        got = columns(parts.groupBy("at").agg(F.sum("value").alias("value")))  # ``size`` sums at most
         if not len(got["at"]):
             return model
-        total = np.zeros(states + states * states + states * classes)
+        total = np.zeros(size)
         total[got["at"]] = got["value"]
         start, move, emit = np.split(total, [states, states + states * states])
         model = updated(start, move.reshape(states, states), emit.reshape(states, classes))
