@@ -37,23 +37,25 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})\s{0,2}(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\s{0,2}([A-Za-z0-9-]{1,63}(?:\s{0,2}(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\s{0,2}[A-Za-z0-9-]{1,63}){1,4})", re.I)
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{2,4}\)[\x20-]?|0[0-9]{1,4}[\x20./-]|[0-9]{3}[\x20.-])[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9A-Za-z-])")
 
-#: Words that speak for a kind when they come just before a span.
+#: Words and phrases that speak for a kind when they stand close before a span or right after it.
 CUES = {
-    "email": ("email", "e-mail", "mail", "contact", "write to", "reach"),
-    "ip": ("ip", "address", "host", "server", "from", "client"),
-    "card": ("card", "visa", "mastercard", "credit", "debit", "payment", "account"),
-    "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "contact", "reach"),
+    "email": ("email", "e-mail", "mail", "contact", "write to", "reach", "correo", "courriel", "schreiben an"),
+    "ip": ("ip", "ip address", "host", "server", "client", "gateway", "login from", "adresse ip"),
+    "card": ("card", "visa", "mastercard", "credit", "debit", "payment", "tarjeta", "carte", "kreditkarte"),
+    "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "reach", "telefon", "telefono", "appeler"),
 }
+#: Words that speak for something else.
+OTHER = ("version", "ver", "release", "isbn", "issn", "doi", "rfc", "section", "chapter", "page", "token", "key", "password", "passwd", "secret", "hash", "v", "order", "invoice", "serial", "ref", "id", "build", "ticket", "tracking")
 #: Top-level domains of the gazetteer.
 DOMAINS = frozenset("com org net edu gov mil int info biz io dev app eu de fr es it uk us ca au nl ch at be pl se no dk fi pt jp cn in br ru mx".split())
 #: First digits of calling codes and of card issuers.
 CALLING = tuple("1 7 20 27 3 4 5 6 8 9".split())
 ISSUERS = tuple("34 37 4 51 52 53 54 55 6011 65 35 2".split())
-_OTHER = re.compile(r"(?:version|ver\.?|release|isbn|issn|doi|rfc|section|chapter|page|token|key|password|passwd|secret|hash|v)\s{0,3}[:=#]?\s{0,3}[\"']?$", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -111,26 +113,31 @@ def votes(text: str, kind: int, start: int, end: int, strict: bool) -> tuple[int
     """One vote of each labeler: 1 for, -1 against, 0 no opinion."""
     span, name = text[start:end], KINDS[kind]
     digits = _NOT_DIGIT.sub("", span)
-    before, low = text[max(0, start - 30) : start], span.lower()
+    before, low = text[max(0, start - 30) : start].lower(), span.lower()
     pattern = 1 if strict else -1
     if kind == 0:
         check = 1 if re.search(r"(?:\.|dot)\s*[a-z]{2,}$", low) else -1
-        gazetteer = 1 if re.split(r"[^a-z0-9-]+", low)[-1] in DOMAINS else 0
+        gazetteer = 1 if re.split(r"[^a-z0-9-]+", low)[-1] in DOMAINS else -1
     elif kind == 1:
         parts = [int(x[-4:]) for x in span.split(".")]
         check = -1 if any(len(x) > 1 and x[0] == "0" for x in span.split(".")) else 1
-        gazetteer = -1 if parts[0] == 0 else 1 if parts[0] < 224 else 0
+        gazetteer = 1 if 0 < parts[0] < 224 and parts[0] != 127 else -1
     elif kind == 2:
         check = 1 if luhn(digits) else -1
-        gazetteer = 1 if digits.startswith(ISSUERS) else 0
+        gazetteer = 1 if digits.startswith(ISSUERS) else -1
     else:
         check = 1 if 10 <= len(digits) <= 15 else -1
-        gazetteer = 1 if strict and digits.startswith(CALLING) else 1 if len(digits) == 10 else 0
-    words = re.split(r"[^a-z-]+", before.lower())
-    context = 1 if any(c in words for c in CUES[name]) else 0
+        if span[0] == "+":
+            gazetteer = 1 if digits.startswith(CALLING) else -1
+        else:  # a national number: trunk zero, or an area code from 2 on
+            gazetteer = 1 if digits[0] == "0" or len(digits) == 10 and digits[0] in "23456789" else -1
+    near = f" {' '.join(_WORD.findall(before))} "
+    after = f" {' '.join(_WORD.findall(text[end : end + 16].lower())[:1])} "
+    context = 1 if any(f" {c} " in near or f" {c} " in after for c in CUES[name]) else 0
     left, right = text[start - 1 : start], text[end : end + 1]
     border = 1 if (not left or not left.isalnum()) and (not right or not right.isalnum()) else -1
-    other = -1 if _OTHER.search(before) else 0
+    last = near.split()[-2:]
+    other = -1 if any(w in OTHER for w in last) else 0
     return (pattern, check, gazetteer, context, border, other)
 
 
