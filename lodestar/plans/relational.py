@@ -4,13 +4,13 @@ A body is a chain of steps on one DataFrame. Iterating a table is a join, whose
 follow (Catalyst turns them into hash or merge joins and pushes the rest into the scans); iterating an array or map
 column is an explode; comparisons filter; ``not`` over a table or rule is an anti-join, ``in`` a semi-join; several
 bodies are a union; sets are distinct rows. A body fails where a term is undefined, so that NULL conditions drop rows
-and ``not`` holds for them.
+and ``not`` holds for them. A comprehension over tables runs once for all rows, grouped by the outer values it uses.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 from functools import reduce
 from typing import Any
 
@@ -34,12 +34,13 @@ class Table:
 @dataclass(frozen=True)
 class Step:
     """``kinds``: types of variables that stand for array elements inside an expression. ``unit``: the one row without
-    columns that a body begins with; the first table takes its place."""
+    columns that a body begins with; the first table takes its place. ``order``: keys of the tables iterated so far."""
 
     df: DataFrame
     env: Mapping[str, Column] = field(default_factory=dict)
     kinds: Mapping[str, T.DataType] = field(default_factory=dict)
     unit: bool = False
+    order: tuple[Column, ...] = ()
 
     def bind(self, name: str, value: Column, kind: T.DataType | None = None) -> Step:
         return replace(self, env={**self.env, name: value}, kinds={**self.kinds, name: kind} if kind else self.kinds)
@@ -48,10 +49,21 @@ class Step:
         return self.df.select(column).schema[0].dataType
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """Distinct rows; maps can be grouped but not deduplicated."""
+    if any(isinstance(f.dataType, T.MapType) for f in rows.schema):
+        return rows.groupBy(*rows.columns).agg(F.lit(1).alias("_n")).drop("_n")
+    return rows.distinct()
+
+
 def _holds(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+#: Aggregates of a comprehension over tables, with their value over nothing.
+TOTALS = {"count": (F.count, 0), "sum": (F.sum, 0), "product": (F.product, 1), "max": (F.max, None), "min": (F.min, None)}
+
+
 class Planner:
     def __init__(self, modules: list[str | Module], tables: Mapping[str, Table | DataFrame]):
         self.rules: dict[str, list[Rule]] = {}
@@ -80,7 +92,7 @@ class Planner:
             start = Step(inputs.select(F.struct("*").alias("input"))) if inputs is not None else Step(spark.range(1).select(), unit=True)
             columns, step = self.head(r, self.body(r.body, start, r))
             parts.append(step.df.select(*columns))
-        rows = reduce(lambda a, b: a.unionByName(b), parts).distinct()
+        rows = _distinct(reduce(lambda a, b: a.unionByName(b), parts))
         if rules[0].kind != "object":
             return rows
         keys = [c for c in rows.columns if c.startswith("key")]
@@ -154,7 +166,7 @@ class Planner:
 
     def literal(self, lit: Literal, step: Step, r: Rule) -> Step:
         if lit.withs:
-            raise FragmentError("'with' is planned by substituting tables or inputs before planning")
+            return self.substituted(lit, step, r)
         if lit.kind == "some":
             return step
         if lit.kind == "somein":
@@ -236,6 +248,8 @@ class Planner:
             row = F.col(alias)
             step = replace(step, df=rows if step.unit else step.df.crossJoin(rows), unit=False)
             single = len(frame.frame.columns) == 1 and frame.frame.columns[0] == "value"
+            if frame.key:
+                step = replace(step, order=(*step.order, row[frame.key]))
             step = self.match(value, row["value"] if single else row, step, r)
             return self.match(key, row[frame.key], step, r) if key is not None and frame.key else step
         if isinstance(coll, Ref | Var) and (lookup := self.lookup(coll, r)) is not None:
@@ -354,8 +368,11 @@ class Planner:
                 parts.append(c)
             return (F.array_sort(F.array_distinct(F.array(*parts))) if term.kind == "set" else F.array(*parts)), step
         if isinstance(term, Comprehension):
-            return self.comprehension(term, step, r), step
+            return self.gathered(term, step, r) if self.over_rows(term, r) else (self.comprehension(term, step, r), step)
         if isinstance(term, Call):
+            of = term.args[0] if len(term.args) == 1 else None
+            if term.name in TOTALS and isinstance(of, Comprehension) and of.kind != "object" and self.over_rows(of, r):
+                return self.gathered(of, step, r, term.name)
             args = []
             for a in term.args:
                 c, step = self.term(a, step, r)
@@ -408,6 +425,120 @@ class Planner:
                 at = at.otherwise
         return (default if out is None else out.otherwise(default)), step
 
+    def substituted(self, lit: Literal, step: Step, r: Rule) -> Step:
+        """A line under ``with``: parts of the input become other values, data paths other tables or rules. What is bound
+        before or by the line keeps its value afterwards."""
+        values, tables = [], dict(self.tables)
+        for (root, *path), term in lit.withs:
+            if root == "data":
+                if (table := self.frame(term, r)) is None:
+                    raise FragmentError("a table can only be replaced by a table or a rule")
+                tables[".".join(path)] = table
+            elif root == "input":
+                value, step = self.term(term, step, r)
+                values.append((path, value))
+            else:
+                raise FragmentError(f"{root} can't be replaced in a plan")
+        held = {n: self.fresh() for n in step.env}
+        known, saved, doc = "input" in step.df.columns, self.fresh(), None
+        df = step.df.select("*", *[step.env[n].alias(c) for n, c in held.items()], *([F.col("input").alias(saved)] if known else []))
+        if values:
+            doc = F.col("input") if known else None
+            for path, value in values:
+                if path and doc is not None:
+                    value = doc.withField(".".join(f"`{p}`" for p in path), value)
+                else:
+                    for p in reversed(path):
+                        value = F.struct(value.alias(p))
+                doc = value
+            df = df.withColumn("input", doc)
+        inner = replace(step, df=df, env={n: F.col(c) for n, c in held.items()}, unit=step.unit and not values)
+        before, self.tables = self.tables, tables
+        try:
+            out = self.literal(replace(lit, withs=()), inner, r)
+        finally:
+            self.tables = before
+        new = {n: self.fresh() for n in out.env if n not in held}
+        df = out.df.select("*", *[out.env[n].alias(c) for n, c in new.items()])
+        if known:
+            df = df.withColumn("input", F.col(saved)).drop(saved)
+        elif values:
+            df = df.drop("input")
+        return replace(out, df=df, env={n: F.col(c) for n, c in {**held, **new}.items()})
+
+    def over_rows(self, term: Comprehension, r: Rule) -> bool:
+        """Whether the body iterates a table, or a rule that is one."""
+        for lit in term.body:
+            found = self.full(lit.terms[2], r) if lit.kind == "somein" and isinstance(lit.terms[2], Var | Ref) else None
+            if found and not found[1] and (found[0] in self.tables or found[0] in self.rules and self.rules[found[0]][0].kind in ("set", "object")):
+                return True
+        return False
+
+    def outer(self, node: Any, names: set[str], r: Rule, used: dict[str, set[str] | None]) -> None:
+        """For each of ``names`` that is used below ``node``: its fields in use, or None for the whole value."""
+        base, path = (node.base, node.path) if isinstance(node, Ref) else (node, ())
+        if isinstance(base, Var) and base.name in names:
+            if path and isinstance(path[0], Const) and isinstance(path[0].value, str) and used.get(base.name, set()) is not None:
+                used.setdefault(base.name, set()).add(path[0].value)
+            else:
+                used[base.name] = None
+            node = path
+        elif "input" in names and (isinstance(node, Var | Ref) and (found := self.full(node, r)) and found[0] in self.rules or isinstance(node, Call) and ".".join((*self.home[id(r)].package, node.name)) in self.rules):
+            used["input"] = None  # the rule may use any part of it
+        if isinstance(node, tuple):
+            for x in node:
+                self.outer(x, names, r, used)
+        elif is_dataclass(node):
+            for f in fields(node):
+                self.outer(getattr(node, f.name), names, r, used)
+
+    def gathered(self, term: Comprehension, step: Step, r: Rule, total: str | None = None) -> tuple[Column, Step]:
+        """A comprehension over tables for all rows of the step: its body runs once for each combination of the outer
+        values that it uses, is grouped by them, and joined back. ``total`` aggregates without building the collection.
+
+        Sets come sorted, arrays in the order of the tables' keys (then by value)."""
+        known = "input" in step.df.columns and "input" not in step.env
+        used: dict[str, set[str] | None] = {}
+        self.outer((term.head, term.body), {*step.env, *(["input"] if known else [])}, r, used)
+        keys = {}
+        for n, parts in sorted(used.items()):
+            value = step.env[n] if n in step.env else F.col("input")
+            keys[n] = ("input" if n not in step.env else self.fresh(), value if parts is None else F.struct(*[value[p].alias(p) for p in sorted(parts)]))
+        if keys:
+            start = Step(step.df.select(*[v.alias(c) for c, v in keys.values()]).distinct(), {n: F.col(c) for n, (c, _) in keys.items() if n in step.env})
+        else:
+            start = Step(step.df.sparkSession.range(1).select(), unit=True)
+        inner = self.body(term.body, start, r)
+        head = []
+        for x in term.head:
+            column, inner = self.term(x, inner, r)
+            head.append(column)
+        back = {n: self.fresh() for n in keys}
+        rows = inner.df.select(*[F.col(keys[n][0]).alias(c) for n, c in back.items()], *[c.alias(f"_h{i}") for i, c in enumerate(head)], F.struct(*inner.order, F.lit(0)).alias("_order"))
+        rows = rows.filter(reduce(lambda a, b: a & b, [F.col(f"_h{i}").isNotNull() for i in range(len(head))]))
+        if total is not None:
+            if term.kind == "set":
+                rows = rows.drop("_order").distinct()
+            made, empty = TOTALS[total][0]("_h0"), TOTALS[total][1]
+            made = made if empty is None else F.coalesce(made, F.lit(empty))
+        elif term.kind == "object":
+            made, empty = F.map_from_entries(F.collect_set(F.struct("_h0", "_h1"))), None
+        elif term.kind == "set":
+            made, empty = F.array_sort(F.collect_set("_h0")), None
+        else:
+            made, empty = F.transform(F.array_sort(F.collect_list(F.struct("_order", "_h0"))), lambda x: x["_h0"]), None
+        out = self.fresh()
+        grouped = rows.groupBy(*back.values()).agg(made.alias(out))
+        if not keys:  # one row
+            return F.col(out), replace(step, df=step.df.crossJoin(grouped), unit=False)
+        same = reduce(lambda a, b: a & b, [keys[n][1].eqNullSafe(F.col(c)) for n, c in back.items()])
+        df = step.df.join(grouped, same, "left").drop(*back.values())
+        if total is None:
+            kind = grouped.schema[out].dataType
+            nothing = F.create_map() if term.kind == "object" else F.array()
+            return F.coalesce(F.col(out), nothing.cast(kind)), replace(step, df=df, unit=False)
+        return (F.col(out) if empty is None else F.coalesce(F.col(out), F.lit(empty))), replace(step, df=df, unit=False)
+
     def comprehension(self, term: Comprehension, step: Step, r: Rule) -> Column:
         """Over one array column: filter and transform."""
         first, *rest = term.body

@@ -418,6 +418,110 @@ def set_except(spark, sf_dir):
     return t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).subtract(t(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select("s_nationkey"))
 
 
+_GATHERED = """
+package gathered
+
+names[r.r_name] := [n.n_name | some n in data.nation; n.n_regionkey == r.r_regionkey] if some r in data.region
+
+segments contains {"nation": n.n_name, "segments": {c.c_mktsegment | some c in data.customer; c.c_nationkey == n.n_nationkey}} if some n in data.nation
+
+keys contains {"region": r.r_name, "keys": {n.n_name: n.n_nationkey | some n in data.nation; n.n_regionkey == r.r_regionkey}} if some r in data.region
+
+spent contains {"c": c.c_custkey, "n": n, "most": most} if {
+    some c in data.customer
+    n := count([o.o_orderkey | some o in data.orders; o.o_custkey == c.c_custkey])
+    most := max({o.o_totalprice | some o in data.orders; o.o_custkey == c.c_custkey})
+}
+
+default loyal := false
+
+loyal if count([1 | some o in data.orders; o.o_custkey == input.c_custkey; o.o_totalprice > input.least]) >= 3
+
+default eager := false
+
+eager if count([1 | some o in data.orders; o.o_custkey == input.c_custkey; o.o_totalprice > input.least]) >= 3 with input.least as 200000
+
+shown contains n.n_name if some n in data.nation with data.nation as data.some_nations
+
+both contains k if {
+    some c in data.customer
+    k := c.c_nationkey
+    k in home
+}
+
+home contains s.s_nationkey if some s in data.supplier
+
+bare contains n.n_nationkey if {
+    some n in data.nation
+    not n.n_nationkey in home_rich
+}
+
+home_rich contains s.s_nationkey if {
+    some s in data.supplier
+    s.s_acctbal > 5000
+}
+"""
+
+
+def _gathering(spark, sf_dir) -> Planner:
+    names = {"customer": "c_custkey", "nation": "n_nationkey", "region": "r_regionkey", "orders": "o_orderkey", "supplier": "s_suppkey"}
+    tables = {n: Table(t(spark, sf_dir, n), k) for n, k in names.items()}
+    return Planner([_GATHERED], {**tables, "some_nations": Table(t(spark, sf_dir, "nation").filter("n_nationkey % 4 = 1"), "n_nationkey")})
+
+
+@query("SELECT r_name AS region, coalesce(string_agg(n_name, ',' ORDER BY n_nationkey), '') AS names FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def rule_array_comp(spark, sf_dir):
+    """Arrays come in the order of the table's key."""
+    rows = _gathering(spark, sf_dir).relation("gathered.names")
+    return rows.select(F.col("key").alias("region"), F.array_join("value", ",").alias("names"))
+
+
+@query("SELECT n_name AS nation, coalesce(string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment), '') AS segments FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def rule_set_comp(spark, sf_dir):
+    rows = _gathering(spark, sf_dir).relation("gathered.segments")
+    return rows.select("nation", F.array_join("segments", ",").alias("segments"))
+
+
+@query("SELECT r_name AS region, n_name AS name, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey")
+def rule_object_comp(spark, sf_dir):
+    return _gathering(spark, sf_dir).relation("gathered.keys").select("region", F.explode("keys").alias("name", "k"))
+
+
+@query("SELECT c_custkey AS c, count(*) AS n, max(o_totalprice) AS most FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def rule_comp_totals(spark, sf_dir):
+    """Counts and maxima of comprehensions are aggregates; customers without orders have no maximum and fall out."""
+    return _gathering(spark, sf_dir).relation("gathered.spent").filter("most IS NOT NULL")
+
+
+@query("""SELECT c_custkey, least, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > least) >= 3 AS loyal
+  FROM (SELECT c_custkey, (c_custkey % 5) * 50000 AS least FROM customer)""")
+def rule_comp_decide(spark, sf_dir):
+    inputs = t(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") % 5) * 50000).alias("least"))
+    return _gathering(spark, sf_dir).decide("gathered.loyal", inputs, ["c_custkey"], "loyal")
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) >= 3 AS eager FROM customer")
+def rule_with_input(spark, sf_dir):
+    """A rule under a replaced part of the input."""
+    inputs = t(spark, sf_dir, "customer").select("c_custkey", F.lit(0).alias("least"))
+    return _gathering(spark, sf_dir).decide("gathered.eager", inputs, ["c_custkey"], "eager").select("c_custkey", "eager")
+
+
+@query("SELECT n_name AS value FROM nation WHERE n_nationkey % 4 = 1")
+def rule_with_data(spark, sf_dir):
+    return _gathering(spark, sf_dir).relation("gathered.shown")
+
+
+@query("SELECT DISTINCT c_nationkey AS value FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def rule_set_intersect(spark, sf_dir):
+    return _gathering(spark, sf_dir).relation("gathered.both")
+
+
+@query("SELECT n_nationkey AS value FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+def rule_set_except(spark, sf_dir):
+    return _gathering(spark, sf_dir).relation("gathered.bare")
+
+
 # -- functions
 def _props(spark, sf_dir) -> DataFrame:
     e = t(spark, sf_dir, "events")

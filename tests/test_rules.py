@@ -233,3 +233,60 @@ def test_planned_rules(spark):
     got = p.decide("rows.ok", asked, ["id"])
     assert {r.id: r.decision for r in got.collect()} == {1: "yes", 2: "no", 3: "no"}
     assert "Join" in got._jdf.queryExecution().toString()
+
+
+GATHERED = """
+package stock
+
+names[r.r_name] := [n.n_name | some n in data.nation; n.n_regionkey == r.r_regionkey] if some r in data.region
+
+codes contains {"region": r.r_name, "codes": {n.n_nationkey % 3 | some n in data.nation; n.n_regionkey == r.r_regionkey}} if some r in data.region
+
+totals contains {"region": r.r_name, "n": count([1 | some n in data.nation; n.n_regionkey == r.r_regionkey]), "top": t} if {
+    some r in data.region
+    t := max({n.n_nationkey | some n in data.nation; n.n_regionkey == r.r_regionkey})
+}
+
+whole contains {"region": r.r_name, "all": sum([n.n_nationkey | some n in data.nation])} if some r in data.region
+
+by_name contains {"region": r.r_name, "keys": {n.n_name: n.n_nationkey | some n in data.nation; n.n_regionkey == r.r_regionkey}} if some r in data.region
+
+wide if count({n.n_name | some n in data.nation; n.n_regionkey == input.region}) > input.least
+
+wide_with if {
+    first := input.least
+    count({n.n_name | some n in data.nation; n.n_regionkey == input.region}) > input.least with input.least as 2
+    first == input.least
+}
+
+other contains n.n_name if {
+    some r in data.region
+    some n in data.nation with data.nation as data.small
+    n.n_regionkey == r.r_regionkey
+}
+"""
+
+
+def _gathered(spark):
+    region = spark.createDataFrame([(0, "north"), (1, "south"), (2, "empty"), (None, "nowhere")], "r_regionkey long, r_name string")
+    nation = spark.createDataFrame([(4, "d", 0), (1, "a", 0), (2, "z", 1), (3, "c", 0), (9, None, 1)], "n_nationkey long, n_name string, n_regionkey long")
+    tables = {"region": Table(region, "r_name"), "nation": Table(nation, "n_nationkey"), "small": Table(nation.filter("n_nationkey < 3"), "n_nationkey")}
+    return Planner([GATHERED], tables)
+
+
+def test_comprehensions_over_tables_are_grouped_by_the_outer_values(spark):
+    p = _gathered(spark)
+    got = {r.key: r.value for r in p.relation("stock.names").collect()}
+    assert got == {"north": ["a", "c", "d"], "south": ["z"], "empty": [], "nowhere": []}
+    assert {r.region: r.codes for r in p.relation("stock.codes").collect()} == {"north": [0, 1], "south": [0, 2], "empty": [], "nowhere": []}
+    assert {r.region: (r.n, r.top) for r in p.relation("stock.totals").collect()} == {"north": (3, 4), "south": (2, 9)}
+    assert {r.region: r.all for r in p.relation("stock.whole").collect()} == dict.fromkeys(["north", "south", "empty", "nowhere"], 19)
+    assert {r.region: r["keys"] for r in p.relation("stock.by_name").collect()}["north"] == {"a": 1, "c": 3, "d": 4}
+
+
+def test_comprehensions_over_tables_and_with_in_decisions(spark):
+    p = _gathered(spark)
+    inputs = spark.createDataFrame([(1, 0, 1), (2, 0, 5), (3, 1, 0), (4, None, 0), (5, 2, 0)], "id long, region long, least long")
+    assert {r.id: r.decision for r in p.decide("stock.wide", inputs, ["id"]).collect()} == {1: True, 2: None, 3: True, 4: None, 5: None}
+    assert {r.id: r.decision for r in p.decide("stock.wide_with", inputs, ["id"]).collect()} == {1: True, 2: True, 3: None, 4: None, 5: None}
+    assert sorted(r.value for r in p.relation("stock.other").collect()) == ["a", "z"]
