@@ -191,6 +191,86 @@ def units_parse_bytes(s: ColumnLike) -> Column:
     return (F.regexp_extract(low, r"^([0-9.]+)", 1).try_cast("double") * factor).cast("long")
 
 
+def split_at(s: Column, sep: Column) -> Column:
+    """Parts of a text; single characters for an empty separator."""
+    return F.when(sep == "", F.split(s, F.lit(""))).otherwise(F.split(s, F.concat(F.lit("\\Q"), sep, F.lit("\\E"))))
+
+
+def count_of(s: Column, x: Column) -> Column:
+    """Occurrences that don't overlap; an empty text lies between all characters."""
+    n = F.call_function("div", F.length(s) - F.length(F.replace(s, x, F.lit(""))), F.nullif(F.length(x), F.lit(0)))
+    return F.coalesce(n, F.length(s) + 1)
+
+
+def positions(s: Column, x: Column) -> Column:
+    """Every place where x begins."""
+    last = F.length(s) - F.length(x)
+    return F.when(last < 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(s, i + 1, F.length(x)) == x))
+
+
+def found(p: Column, s: Column, n: Column) -> Column:
+    """The first n matches of a pattern, or all where n is negative."""
+    every = F.regexp_extract_all(s, p, F.lit(0))
+    return F.when(n < 0, every).otherwise(F.slice(every, F.lit(1), F.greatest(n, F.lit(0))))
+
+
+def some_pair(test: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+    return lambda xs, ys: F.exists(xs, lambda x: F.exists(ys, lambda y: test(x, y)))
+
+
+_DAY = 86400 * 10**9
+
+
+def _whole(ns: Column, unit: int) -> Column:
+    """Units since the epoch, rounded down, in whole numbers."""
+    return F.call_function("div", ns - F.pmod(ns, F.lit(unit)), F.lit(unit))
+
+
+def day_of(ns: Column) -> Column:
+    return F.date_add(F.lit("1970-01-01").cast("date"), _whole(ns, _DAY).cast("int"))
+
+
+def date_parts(ns: Column) -> Column:
+    """[year, month, day] in UTC."""
+    return F.array(F.year(day_of(ns)), F.month(day_of(ns)), F.day(day_of(ns)))
+
+
+def clock_parts(ns: Column) -> Column:
+    """[hour, minute, second] in UTC."""
+    second = _whole(F.pmod(ns, F.lit(_DAY)), 10**9)
+    return F.array(F.call_function("div", second, F.lit(3600)), F.call_function("div", second % 3600, F.lit(60)), second % 60)
+
+
+def rfc3339_ns(s: Column) -> Column:
+    """Nanoseconds since the epoch; NULL for other texts."""
+    shape = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.(\d{1,9}))?(?:Z|[+-]\d\d:\d\d)$"
+    seconds = F.unix_seconds(F.regexp_replace(s, r"\.\d+", "").try_cast("timestamp"))
+    fraction = F.rpad(F.regexp_extract(s, shape, 1), 9, "0").cast("long")
+    return F.when(F.rlike(s, F.lit(shape)), seconds * F.lit(10**9) + fraction)
+
+
+#: Units of durations, in nanoseconds.
+_DURATIONS = {"ns": 1, "us": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9}
+
+
+def duration_ns(s: Column) -> Column:
+    """Nanoseconds of ``1h30m``; NULL for other texts."""
+    number = r"(\d+(?:\.\d+)?)"
+    total = F.lit(0.0)
+    for unit, n in _DURATIONS.items():
+        total = total + n * F.aggregate(F.regexp_extract_all(s, F.lit(rf"{number}{unit}(?![a-z])"), F.lit(1)), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    sign = F.when(s.startswith("-"), -1).otherwise(1)
+    return F.when(F.rlike(s, F.lit(rf"^-?(?:{number}(?:ns|us|ms|s|m|h))+$")), (sign * total).cast("long"))
+
+
+def _url64(s: Column) -> Column:
+    return F.translate(F.base64(F.encode(s, "UTF-8")), "+/", "-_")
+
+
+def _text(b: Column) -> Column:
+    return F.decode(b, "UTF-8")
+
+
 #: Functions of the rule planner: name -> builder over Columns.
 COLUMNS: dict[str, Callable[..., Column]] = {
     "equal": lambda a, b: a == b,
@@ -239,4 +319,46 @@ COLUMNS: dict[str, Callable[..., Column]] = {
     "regex.match": lambda p, s: F.rlike(s, p),
     "to_number": lambda x: x.try_cast("double"),
     "strings.reverse": F.reverse,
+    "all": lambda xs: F.forall(xs, lambda x: F.coalesce(x, F.lit(False))),
+    "any": lambda xs: F.exists(xs, lambda x: F.coalesce(x, F.lit(False))),
+    "intersection": lambda xs: as_set(F.aggregate(xs, F.get(xs, F.lit(0)), F.array_intersect)),
+    "split": split_at,
+    "indexof": lambda s, x: F.instr(s, x) - 1,
+    "indexof_n": positions,
+    "substring": lambda s, a, n: F.substring(s, a + 1, F.when(n < 0, F.length(s)).otherwise(n)),
+    "trim": lambda s, c: F.trim(s, c),
+    "trim_left": lambda s, c: F.ltrim(s, c),
+    "trim_right": lambda s, c: F.rtrim(s, c),
+    "trim_prefix": lambda s, x: F.when(s.startswith(x), F.substring(s, F.length(x) + 1, F.length(s))).otherwise(s),
+    "trim_suffix": lambda s, x: F.when(s.endswith(x), F.substring(s, F.lit(1), F.length(s) - F.length(x))).otherwise(s),
+    "format_int": lambda n, base: F.lower(F.call_function("conv", n.cast("long").cast("string"), F.lit(10), base)),
+    "strings.count": count_of,
+    "strings.any_prefix_match": some_pair(lambda x, y: x.startswith(y)),
+    "strings.any_suffix_match": some_pair(lambda x, y: x.endswith(y)),
+    "regex.split": lambda p, s: F.split(s, p),
+    "regex.replace": lambda s, p, r: F.regexp_replace(s, p, r),
+    "regex.find_n": found,
+    "bits.and": lambda a, b: a.bitwiseAND(b),
+    "bits.or": lambda a, b: a.bitwiseOR(b),
+    "bits.xor": lambda a, b: a.bitwiseXOR(b),
+    "bits.negate": F.bitwise_not,
+    "bits.lsh": lambda a, n: F.call_function("shiftleft", a.cast("long"), n.cast("int")),
+    "bits.rsh": lambda a, n: F.call_function("shiftright", a.cast("long"), n.cast("int")),
+    "crypto.md5": F.md5,
+    "crypto.sha1": F.sha1,
+    "crypto.sha256": lambda s: F.sha2(s, 256),
+    "hex.encode": lambda s: F.lower(F.hex(F.encode(s, "UTF-8"))),
+    "hex.decode": lambda s: _text(F.unhex(s)),
+    "base64url.encode": _url64,
+    "base64url.encode_no_pad": lambda s: F.rtrim(_url64(s), F.lit("=")),
+    "base64url.decode": lambda s: _text(F.try_to_binary(F.concat(F.translate(s, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(s), F.lit(4)))), F.lit("base64"))),
+    "urlquery.encode": lambda s: F.replace(F.replace(F.url_encode(s), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")),
+    "urlquery.decode": F.try_url_decode,
+    "semver.compare": semver_compare,
+    "units.parse_bytes": units_parse_bytes,
+    "time.date": date_parts,
+    "time.clock": clock_parts,
+    "time.weekday": lambda ns: F.date_format(day_of(ns), "EEEE"),
+    "time.parse_rfc3339_ns": rfc3339_ns,
+    "time.parse_duration_ns": duration_ns,
 }

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.functions.scalar import COLUMNS
+from lodestar.functions.scalar import COLUMNS, type_name
 from lodestar.plans.rules import Call, Collection, Comprehension, Const, Literal, Module, Ref, Rule, Var, parse_module
 from lodestar.plans.targets import FragmentError
 
@@ -60,6 +60,12 @@ def _holds(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+#: Types of columns that each predicate holds for.
+IS_KIND = {
+    "is_string": (T.StringType,), "is_number": (T.NumericType,), "is_boolean": (T.BooleanType,), "is_null": (T.NullType,),
+    "is_array": (T.ArrayType,), "is_set": (T.ArrayType,), "is_object": (T.StructType, T.MapType),
+}
+
 #: Aggregates of a comprehension over tables, with their value over nothing.
 TOTALS = {"count": (F.count, 0), "sum": (F.sum, 0), "product": (F.product, 1), "max": (F.max, None), "min": (F.min, None)}
 
@@ -397,10 +403,20 @@ class Planner:
             from lodestar.functions.scalar import sprintf
 
             return sprintf(term.args[0].value, *(args[1 + i] for i in range(len(args) - 1))) if not isinstance(term.args[1], Collection) else sprintf(term.args[0].value, *[self.term(x, step, r)[0] for x in term.args[1].items])
+        if term.name in IS_KIND:
+            return self.is_kind(term, args[0], step)
         if term.name in COLUMNS:
             return COLUMNS[term.name](*args)
         raise FragmentError(f"function {term.name} can't be planned")
 
+    def is_kind(self, term: Call, value: Column, step: Step) -> Column:
+        """``is_string`` and the like: known from a column's type, looked up in VARIANT values. Sets are arrays here."""
+        of = term.args[0]
+        kind = step.kinds[of.name] if isinstance(of, Var) and of.name in step.kinds else step.kind_of(value)
+        if isinstance(kind, T.VariantType):
+            return type_name(value) == term.name.removeprefix("is_")
+        return F.when(value.isNotNull(), F.lit(isinstance(kind, IS_KIND[term.name])))
+
     def complete(self, rules: list[Rule], args: list[Column], step: Step) -> tuple[Column, Step]:
         """A function or a complete rule without iteration as a CASE."""
         out, default = None, F.lit(None)
