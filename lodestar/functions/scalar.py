@@ -296,7 +296,7 @@ COLUMNS: dict[str, Callable[..., Column]] = {
     "contains": lambda s, x: s.contains(x),
     "startswith": lambda s, x: s.startswith(x),
     "endswith": lambda s, x: s.endswith(x),
-    "concat": lambda sep, xs: F.array_join(xs, sep),
+    "concat": lambda sep, xs: F.call_function("array_join", xs, sep),
     "replace": lambda s, a, b: F.replace(s, a, b),
     "array.concat": F.concat,
     "array.slice": array_slice,

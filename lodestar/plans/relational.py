@@ -345,7 +345,9 @@ class Planner:
             base, path = (term.base, term.path) if isinstance(term, Ref) else (term, ())
             if isinstance(base, Var) and base.name in step.env:
                 out = step.env[base.name]
-            elif isinstance(base, Var) and base.name == "input":
+            elif not isinstance(base, Var):
+                out, step = self.term(base, step, r)
+            elif base.name == "input":
                 out = F.col("input")
             elif (lookup := self.lookup(term, r)) is not None:
                 step, out = self.joined(lookup, step, r)

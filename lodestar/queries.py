@@ -622,6 +622,88 @@ def fn_cidr(spark, sf_dir):
     return e.select("u", F.lit(True).alias("seen"), scalar.cidr_contains("10.1.2.64/26", F.concat(F.lit("10.1.2."), F.col("u").cast("string"))).alias("inside"))
 
 
+_CALLS = """
+package calls
+
+digests contains {
+    "p": p.p_partkey, "md5": crypto.md5(p.p_name), "sha1": crypto.sha1(p.p_name), "sha256": crypto.sha256(p.p_name), "hex": hex.encode(p.p_name),
+    "back": hex.decode(hex.encode(p.p_name)), "url64": base64url.decode(base64url.encode_no_pad(p.p_type)), "query": urlquery.encode(p.p_brand)
+} if some p in data.part
+
+bits contains {"p": p.p_partkey, "a": bits.and(p.p_partkey, 12), "o": bits.or(p.p_partkey, 3), "x": bits.xor(p.p_partkey, 5), "l": bits.lsh(p.p_partkey, 4), "r": bits.rsh(p.p_partkey, 2), "n": bits.negate(p.p_partkey)} if some p in data.part
+
+texts contains {
+    "p": p.p_partkey, "n": strings.count(p.p_name, "e"), "cut": trim_prefix(p.p_name, "small "), "end": trim_suffix(p.p_type, "BRASS"), "part": split(p.p_name, " ")[1],
+    "first": substring(p.p_name, 1, 4), "swapped": regex.replace(p.p_brand, "#([0-9])([0-9])", "-$2$1"), "two": concat("|", regex.find_n("[a-z]+", p.p_name, 2)), "at": indexof(p.p_type, "A"), "trimmed": trim(p.p_name, "aeb")
+} if some p in data.part
+
+times contains {"e": e.event_id, "day": time.date(e.ns), "clock": time.clock(e.ns), "weekday": time.weekday(e.ns)} if some e in data.stamps
+
+any_prefix contains p.p_partkey if {
+    some p in data.part
+    strings.any_prefix_match([p.p_name, p.p_type], ["blue", "ECO", "red"])
+}
+
+kinds contains {"p": d.p_partkey, "text": is_string(d.v), "number": is_number(d.v), "list": is_array(d.v), "object": is_object(d.v), "nothing": is_null(d.v), "truth": is_boolean(d.v)} if some d in data.docs
+
+sets contains {"c": c.c_custkey, "either": xs | ys, "both": xs & ys} if {
+    some c in data.customer
+    xs := {c.c_nationkey, c.c_custkey % 7}
+    ys := {c.c_custkey % 5, c.c_custkey % 7}
+}
+"""
+
+
+def _calls(spark, sf_dir, path: str) -> DataFrame:
+    stamps = t(spark, sf_dir, "events").select("event_id", (F.lit(1_600_000_000_000_000_000).cast("long") + F.col("event_id") * 86_399_123_456_789).alias("ns"))
+    docs = t(spark, sf_dir, "part").select("p_partkey", F.try_parse_json(F.get(F.array(*map(F.lit, ['"x"', "1.5", "[1]", '{"a": 1}', "null", "true"])), (F.col("p_partkey") % 6).cast("int"))).alias("v"))
+    tables = {"part": Table(t(spark, sf_dir, "part"), "p_partkey"), "customer": Table(t(spark, sf_dir, "customer"), "c_custkey"), "stamps": Table(stamps, "event_id"), "docs": Table(docs, "p_partkey")}
+    return Planner([_CALLS], tables).relation(f"calls.{path}")
+
+
+@query("SELECT p_partkey AS p, md5(p_name) AS md5, sha1(p_name) AS sha1, sha256(p_name) AS sha256, lower(hex(p_name)) AS hex, p_name AS back, p_type AS url64, replace(p_brand, '#', '%23') AS query FROM part")
+def fn_digests(spark, sf_dir):
+    return _calls(spark, sf_dir, "digests")
+
+
+@query("SELECT p_partkey AS p, p_partkey & 12 AS a, p_partkey | 3 AS o, xor(p_partkey, 5) AS x, p_partkey * 16 AS l, p_partkey >> 2 AS r, -p_partkey - 1 AS n FROM part")
+def fn_bits(spark, sf_dir):
+    return _calls(spark, sf_dir, "bits")
+
+
+@query("""SELECT p_partkey AS p, length(p_name) - length(replace(p_name, 'e', '')) AS n, regexp_replace(p_name, '^small ', '') AS cut, regexp_replace(p_type, 'BRASS$', '') AS "end", split_part(p_name, ' ', 2) AS part,
+  substr(p_name, 2, 4) AS first, regexp_replace(p_brand, '#([0-9])([0-9])', '-\\2\\1') AS swapped, array_to_string(regexp_extract_all(p_name, '[a-z]+')[1:2], '|') AS two, strpos(p_type, 'A') - 1 AS "at", trim(p_name, 'aeb') AS trimmed FROM part""")
+def fn_texts(spark, sf_dir):
+    out = _calls(spark, sf_dir, "texts")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("n", "at")})
+
+
+@query("""SELECT event_id AS e, strftime(ts, '%Y-%-m-%-d') AS day, strftime(ts, '%-H:%-M:%-S') AS clock, dayname(ts) AS weekday
+  FROM (SELECT event_id, make_timestamp(((1600000000000000000 + event_id::HUGEINT * 86399123456789) // 1000)::BIGINT) AS ts FROM events)""")
+def fn_times(spark, sf_dir):
+    """Days and times of nanoseconds, over dates of centuries."""
+    joined = lambda c, sep: F.array_join(F.col(c).cast("array<string>"), sep).alias(c)
+    return _calls(spark, sf_dir, "times").select("e", joined("day", "-"), joined("clock", ":"), "weekday")
+
+
+@query("SELECT p_partkey AS value FROM part WHERE regexp_matches(p_name, '^(blue|ECO|red)') OR regexp_matches(p_type, '^(blue|ECO|red)')")
+def fn_any_prefix_match(spark, sf_dir):
+    return _calls(spark, sf_dir, "any_prefix")
+
+
+@query("""SELECT p_partkey AS p, k = 'VARCHAR' AS text, k = 'DOUBLE' AS number, k = 'ARRAY' AS list, k = 'OBJECT' AS object, k = 'NULL' AS nothing, k = 'BOOLEAN' AS truth
+  FROM (SELECT p_partkey, json_type((['"x"', '1.5', '[1]', '{"a": 1}', 'null', 'true'])[p_partkey % 6 + 1]::JSON) AS k FROM part)""")
+def fn_kinds(spark, sf_dir):
+    return _calls(spark, sf_dir, "kinds")
+
+
+@query("""SELECT c_custkey AS c, array_to_string(list_sort(list_distinct([c_nationkey, c_custkey % 7, c_custkey % 5])), ',') AS either,
+  array_to_string(list_sort(list_filter(list_distinct([c_nationkey, c_custkey % 7]), lambda x: x = c_custkey % 5 OR x = c_custkey % 7)), ',') AS both FROM customer""")
+def fn_set_operators(spark, sf_dir):
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return _calls(spark, sf_dir, "sets").select("c", joined("either"), joined("both"))
+
+
 # -- documents
 @query("SELECT event_id, '/k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def fn_walk_leaves(spark, sf_dir):
@@ -648,7 +730,18 @@ def fn_walk_nested_leaves(spark, sf_dir):
     return spark.sql("SELECT o.o_orderkey, w.path, w.value, w.kind FROM orders_walk o, LATERAL walk_json(o.doc) w WHERE w.kind NOT IN ('object', 'array')")
 
 
-@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"u\":' || user_id || '}' AS doc FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+@query("""SELECT count(*) AS n, min(o_orderkey) AS first, o_orderstatus AS status, o_custkey AS customer FROM orders GROUP BY o_orderstatus, o_custkey""")
+def json_value_hash(spark, sf_dir):
+    """Equal documents written in two ways have one hash: orders of a customer by status."""
+    o = t(spark, sf_dir, "orders")
+    one = F.format_string('{"status": "%s", "customer": {"key": %d, "w": 1.0}}', "o_orderstatus", "o_custkey")
+    two = F.format_string('{"customer":{"w":1,"key":%d.0},"status":"%s"}', "o_custkey", "o_orderstatus")
+    doc = F.when(F.col("o_orderkey") % 2 == 0, one).otherwise(two)
+    rows = o.select("o_orderkey", "o_orderstatus", "o_custkey", documents.value_hash(doc).alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.min("o_orderstatus").alias("status"), F.min("o_custkey").alias("customer"))
+    return rows.drop("h")
+
+
+@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"u\":'  || user_id || '}' AS doc FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def json_merge(spark, sf_dir):
     e = t(spark, sf_dir, "events").filter(documents.pointer_get(F.col("props"), "/k").isNotNull())
     return e.select("event_id", documents.json_merge(F.col("props"), F.to_json(F.struct(F.col("user_id").alias("u")))).alias("doc"))
@@ -892,3 +985,58 @@ def source_redis_sets(spark, sf_dir):
     s = t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_set("n_name").alias("v"))
     r, v = external.REDIS, F.col("v")
     return s.select("n_regionkey", r["scard"](v).cast("long").alias("scard"), F.array_join(r["smembers"](v), ",").alias("smembers"), r["sismember"](v, "FRANCE").alias("sismember"))
+
+
+def _stored(spark, sf_dir) -> DataFrame:
+    """For each region a text, a list, a hash and a set, as a store of keys would hold them."""
+    n = F.struct("n_nationkey", "n_name")
+    g = t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(n)).alias("rows"))
+    names = F.transform("rows", lambda x: x["n_name"])
+    return g.select(
+        "n_regionkey", F.array_join(names, " ").alias("text"), names.alias("list"), names.alias("members"), F.map_from_arrays(names, F.transform("rows", lambda x: x["n_nationkey"])).alias("hash"),
+        F.array(F.lit("FRANCE"), F.lit("KENYA"), F.get(names, F.lit(0))).alias("other"),
+    )
+
+
+_STORED = """WITH s AS (SELECT n_regionkey, string_agg(n_name, ' ' ORDER BY n_nationkey) AS text, list(n_name ORDER BY n_nationkey) AS l, list(n_nationkey ORDER BY n_nationkey) AS k FROM nation GROUP BY 1)
+"""
+
+
+@query(_STORED + """SELECT n_regionkey, text AS get, substr(text, 3, 4) AS middle, substr(text, length(text) - 3, 4) AS tail, strlen(text)::BIGINT AS strlen, text || '|' || l[1] AS mget FROM s""")
+def source_redis_strings(spark, sf_dir):
+    r, v = external.REDIS, F.col("text")
+    return _stored(spark, sf_dir).select(
+        "n_regionkey", r["get"](v).alias("get"), r["getrange"](v, 2, 5).alias("middle"), r["getrange"](v, -4, -1).alias("tail"), r["strlen"](v).cast("long").alias("strlen"),
+        F.array_join(r["mget"](v, F.get("list", F.lit(0))), "|").alias("mget"),
+    )
+
+
+@query(_STORED + """SELECT n_regionkey, l[2] AS second, l[-1] AS last, len(l)::BIGINT AS llen, array_to_string(l[2:3], ',') AS middle, array_to_string(l[-2:], ',') AS tail, (CASE WHEN list_contains(l, 'KENYA') THEN list_position(l, 'KENYA') - 1 END)::BIGINT AS lpos FROM s""")
+def source_redis_lists(spark, sf_dir):
+    r, v = external.REDIS, F.col("list")
+    return _stored(spark, sf_dir).select(
+        "n_regionkey", r["lindex"](v, 1).alias("second"), r["lindex"](v, -1).alias("last"), r["llen"](v).cast("long").alias("llen"), F.array_join(r["lrange"](v, 1, 2), ",").alias("middle"),
+        F.array_join(r["lrange"](v, -2, -1), ",").alias("tail"), r["lpos"](v, "KENYA").cast("long").alias("lpos"),
+    )
+
+
+@query(_STORED + """SELECT n_regionkey, (CASE WHEN list_contains(l, 'FRANCE') THEN k[list_position(l, 'FRANCE')] END)::BIGINT AS hget, list_contains(l, 'KENYA') AS hexists, array_to_string(list_sort(l), ',') AS hkeys,
+  len(l)::BIGINT AS hlen, list_sum(k)::BIGINT AS hgetall, coalesce((CASE WHEN list_contains(l, 'KENYA') THEN k[list_position(l, 'KENYA')] END)::VARCHAR, '-') || ',' || coalesce((CASE WHEN list_contains(l, 'PERU') THEN k[list_position(l, 'PERU')] END)::VARCHAR, '-') AS hmget, TRUE AS hrandfield FROM s""")
+def source_redis_hashes(spark, sf_dir):
+    r, v = external.REDIS, F.col("hash")
+    return _stored(spark, sf_dir).select(
+        "n_regionkey", r["hget"](v, "FRANCE").cast("long").alias("hget"), r["hexists"](v, "KENYA").alias("hexists"), F.array_join(r["hkeys"](v), ",").alias("hkeys"), r["hlen"](v).cast("long").alias("hlen"),
+        F.aggregate(F.map_values(r["hgetall"](v)), F.lit(0).cast("long"), lambda a, x: a + x).alias("hgetall"), F.array_join(r["hmget"](v, "KENYA", "PERU").cast("array<string>"), ",", "-").alias("hmget"),
+        F.map_contains_key(v, r["hrandfield"](v)).alias("hrandfield"),
+    )
+
+
+@query(_STORED + """, o AS (SELECT n_regionkey, l, ['FRANCE', 'KENYA', l[1]] AS x FROM s)
+SELECT n_regionkey, array_to_string(list_sort(list_filter(l, lambda e: NOT list_contains(x, e))), ',') AS sdiff, array_to_string(list_sort(list_filter(l, lambda e: list_contains(x, e))), ',') AS sinter,
+  len(list_filter(l, lambda e: list_contains(x, e)))::BIGINT AS sintercard, array_to_string(list_sort(list_distinct(l || x)), ',') AS sunion, list_contains(l, 'FRANCE')::VARCHAR || ',' || list_contains(l, 'CHINA')::VARCHAR AS smismember, TRUE AS srandmember FROM o""")
+def source_redis_set_algebra(spark, sf_dir):
+    r, v, o = external.REDIS, F.col("members"), F.col("other")
+    return _stored(spark, sf_dir).select(
+        "n_regionkey", F.array_join(r["sdiff"](v, o), ",").alias("sdiff"), F.array_join(r["sinter"](v, o), ",").alias("sinter"), r["sintercard"](v, o).cast("long").alias("sintercard"),
+        F.array_join(r["sunion"](v, o), ",").alias("sunion"), F.array_join(r["smismember"](v, "FRANCE", "CHINA").cast("array<string>"), ",").alias("smismember"), F.array_contains(v, r["srandmember"](v)).alias("srandmember"),
+    )

@@ -214,8 +214,13 @@ class _MessageReader(SimpleDataSourceStreamReader):
             yield from rows
 
 
+def kafka_messages(raw: DataFrame) -> DataFrame:
+    """Messages as rules see them: key and value as text, headers with text values, topic, unix seconds."""
+    headers = "transform(headers, h -> named_struct('key', h.key, 'value', cast(h.value AS string))) AS headers"
+    return raw.selectExpr("cast(key AS string) AS key", "cast(value AS string) AS value", headers, "topic", "unix_seconds(timestamp) AS timestamp")
+
+
 def kafka_stream(spark: SparkSession, servers: str, topics: Sequence[str], start: str = "earliest", options: Mapping[str, str] | None = None) -> DataFrame:
-    """Kafka messages with key and value as text, and unix seconds (needs Spark's connector on the class path)."""
-    source = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics))
-    raw = source.option("startingOffsets", start).options(**(options or {})).load()
-    return raw.selectExpr("cast(key AS string) AS key", "cast(value AS string) AS value", "topic", "unix_seconds(timestamp) AS timestamp")
+    """A stream of ``kafka_messages`` (needs Spark's connector on the class path)."""
+    source = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("includeHeaders", "true")
+    return kafka_messages(source.option("startingOffsets", start).options(**(options or {})).load())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 import json
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +84,31 @@ def file_sink(path: str, time_column: str = "timestamp", compression: str = "gzi
     return write
 
 
+def kafka_records(df: DataFrame, key: Column | None = None, topic: Column | None = None) -> DataFrame:
+    """Rows as Kafka records: the row as JSON text, with a key and a topic of its own where given."""
+    named = [("key", key), ("topic", topic)]
+    return df.select(F.to_json(F.struct("*")).alias("value"), *[c.cast("string").alias(n) for n, c in named if c is not None])
+
+
+def kafka_sink(servers: str, topic: str, key: Column | None = None, options: Mapping[str, str] | None = None) -> Sink:
+    """Each batch to a topic, at least once (needs Spark's connector on the class path)."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        kafka_records(df, key).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).options(**(options or {})).save()
+
+    return write
+
+
+def index_lines(index: str, ident: Column | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Rows as the two lines of a search index's bulk request (action, document) in one column, for a sender."""
+
+    def run(df: DataFrame) -> DataFrame:
+        target = F.struct(F.lit(index).alias("_index"), *([ident.cast("string").alias("_id")] if ident is not None else []))
+        return df.select(F.concat(F.to_json(F.struct(target.alias("index"))), F.lit("\n"), F.to_json(F.struct("*")), F.lit("\n")).alias("lines"))
+
+    return run
+
+
 def splunk_envelope(time_column: str = "timestamp") -> Callable[[DataFrame], DataFrame]:
     """{event, time} objects."""
     return lambda df: df.select(F.struct("*").alias("event"), F.unix_timestamp(F.col(time_column).cast("timestamp")).alias("time"))

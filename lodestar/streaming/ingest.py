@@ -6,7 +6,8 @@ after a failure starts from the same state. ``per_key_ingest`` keeps state for e
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,27 @@ def counting_transform(keys: Sequence[str], count: str = "n") -> Transform:
     return run
 
 
+def topics_transform(transforms: Mapping[str, Transform], topic: str = "topic") -> Transform:
+    """Several topics into one state, each in a part of its own, named by the column ``topic``.
+
+    A topic's transform sees its messages and its part without that column. Messages of other topics are dropped; parts
+    of topics without a transform, or whose transform gives None, stay as they are."""
+
+    def run(incoming: DataFrame, previous: DataFrame) -> DataFrame | None:
+        parts, changed = [], []
+        for name, transform in transforms.items():
+            new = transform(incoming.filter(F.col(topic) == name).drop(topic), previous.filter(F.col(topic) == name).drop(topic))
+            if new is not None:
+                parts.append(new.withColumn(topic, F.lit(name)).select(*previous.columns))
+                changed.append(name)
+        if not parts:
+            return None
+        kept = previous.filter(~F.coalesce(F.col(topic).isin(changed), F.lit(False)))
+        return reduce(lambda a, b: a.unionByName(b), parts, kept)
+
+    return run
+
+
 class StateTable:
     """State by batch id below a shared path; ``current`` is the newest committed version."""
 
