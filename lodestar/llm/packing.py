@@ -80,16 +80,17 @@ def _fill_gaps(bins: list[list[tuple[int, int, int]]], seq_len: int, min_cut: in
     return [b for b in order if b]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 0, group_docs: int = 2048, seed: int = 17) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 0, group_docs: int = 2048, seed: int = 17, group_bytes: int = 32 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A document is its byte-BPE ids and then ``end_id``; a null or empty text is ``end_id`` alone. Rows with a null
     doc_id and repeated rows are packed like any other row, each on its own. An empty table gives an empty
-    table. Other columns of ``docs`` are not read.
+    table. Other columns of ``docs`` are not read. A random group has about ``group_docs`` documents, fewer where texts
+    are long: about ``group_bytes`` of text at most, so that a task's memory follows neither.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.count()
-    groups = max(1, math.ceil(rows / group_docs))
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col("text").cast("string")))).first()
+    groups = max(1, math.ceil(rows / group_docs), math.ceil((size or 0) / group_bytes))
     place = F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(place, F.lit(groups)).alias("grp"))
 

@@ -88,3 +88,15 @@ def test_failure_links_on_a_small_vocabulary():
     import pyarrow as pa
 
     assert automaton.counts(pa.array(words, pa.large_binary())).tolist() == [_greedy(w, pieces) for w in words]
+
+
+def test_groups_are_bounded_by_bytes_and_rows_with_null_ids_stay(spark):
+    texts = ["abc " * 400] * 12 + [None, "", "abc " * 400]
+    docs = spark.createDataFrame([(None if i > 12 else i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
+    rows = packing.pack_documents(docs, PATH, seq_len=256, group_bytes=4000).collect()
+    assert len({r.sequence_id >> 32 for r in rows}) > 2
+    assert len({r.sequence_id >> 32 for r in packing.pack_documents(docs, PATH, seq_len=256).collect()}) == 1
+    total = sum(len(bpe.load(PATH).ids(t or "")) + 1 for t in [*texts, texts[0]])
+    assert sum(r.length for r in rows) == total
+    assert sum(r.length for r in rows if r.doc_id is None) == len(bpe.load(PATH).ids(texts[0])) + 2
+    assert sum(r.length for r in rows if r.doc_id == 0) == 2 * len(bpe.load(PATH).ids(texts[0])) + 2
