@@ -5,10 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm import hmm
+from lodestar.llm.text import words_of
 
 TEXTS = ["the cat sat", "", None, "The dog\tsat\x0bthere", "le chat dort", "the the the", "un chien dort la", "cat", "Zebra únique", "the cat sat"] * 3
 
@@ -77,3 +79,77 @@ def test_empty_table_and_no_training(spark):
     assert hmm.score_documents(_docs(spark).limit(0), _held_out()).count() == 0
     rows = hmm.score_documents(_docs(spark, ["a b", None]), F.lit(True), states=2, classes=5, rounds=1).collect()
     assert [r.n_known for r in rows] == [0, 0] and all(r.base_score == 0 for r in rows)
+
+
+def _paths(model, xs):
+    """(path, probability) over every sequence of states."""
+    start, move, emit = model
+    for path in itertools.product(range(len(start)), repeat=len(xs)):
+        p = start[path[0]] * emit[path[0]][xs[0]]
+        for t in range(1, len(xs)):
+            p *= move[path[t - 1]][path[t]] * emit[path[t]][xs[t]]
+        yield path, p
+
+
+def _trained(seqs, states, classes, rounds):
+    """Baum-Welch by counting over every path, smoothed as ``updated`` says."""
+    first = hmm.Hmm.initial(states, classes, 5)
+    model = (first.start.tolist(), first.move.tolist(), first.emit.tolist())
+    for _ in range(rounds):
+        start, move, emit = [0.0] * states, [[0.0] * states for _ in range(states)], [[0.0] * classes for _ in range(states)]
+        for xs in seqs:
+            found = list(_paths(model, xs))
+            whole = sum(p for _, p in found)
+            for path, p in found:
+                start[path[0]] += p / whole
+                for t, k in enumerate(path):
+                    emit[k][xs[t]] += p / whole
+                    if t:
+                        move[path[t - 1]][k] += p / whole
+        every = sum(map(sum, emit))
+        share = [(sum(e[c] for e in emit) + 1) / (every + classes) for c in range(classes)]
+        scaled = lambda row: [x / sum(row) for x in row]
+        model = (scaled([x + 0.1 for x in start]), [scaled([x + 0.1 for x in r]) for r in move], [scaled([x + states * share[c] for c, x in enumerate(e)]) for e in emit])
+    return model
+
+
+@pytest.mark.parametrize("chunk_bytes", [40, 1 << 20])
+def test_score_equals_a_model_trained_over_all_paths(spark, chunk_bytes):
+    """From texts to log10 probabilities: nulls, null ids and repeated rows included."""
+    states, classes, rounds = 2, 7, 3
+    texts = [*TEXTS, "the dog the dog", "une zebra", "THE  CAT"]
+    rows = [(None if i % 9 == 8 else i, t, i % 4 == 1) for i, t in enumerate(texts)]
+    rows += rows[:3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, apart boolean")
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t, _ in rows]
+    key = {w: int(words_of(pa.array([w])).hashes()[0]) % (classes - 1) for ws in words for w in ws}
+    counts = Counter(w for ws, (_, _, apart) in zip(words, rows, strict=True) if not apart for w in ws)
+    n, v = Counter(), Counter()
+    for w, c in counts.items():
+        n[key[w]] += c
+        v[key[w]] += 1
+    seqs = [[key[w] for w in ws] + [classes - 1] for ws in words]
+    model = _trained([xs for xs, (_, _, apart) in zip(seqs, rows, strict=True) if not apart], states, classes, rounds)
+    want = []
+    for (i, _, apart), ws, xs in zip(rows, words, seqs, strict=True):
+        p = math.log10(sum(p for _, p in _paths(model, xs)))
+        want.append((i is None, i or 0, apart, len(xs), p + sum(math.log10((counts[w] + 1) / (n[key[w]] + v[key[w]] + 1)) for w in ws)))
+    got = hmm.score_documents(docs, F.col("apart"), states, classes, rounds, chunk_bytes=chunk_bytes).collect()
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.score) for r in got)
+    assert len(found) == len(want)
+    for a, b in zip(found, sorted(want), strict=True):
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-4)
+
+
+def test_words_of_a_class_sum_to_one_less_its_unseen_share(spark):
+    """With one state, one-word texts have P(class) * P(word | class) * P(end): over known words and each class's one
+    unseen share, the words' part is the classes' own probability."""
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(0, " ".join(words))] + [(i + 1, w) for i, w in enumerate(words)], "doc_id long, text string")
+    classes = 9
+    rows = {r.doc_id: r.score for r in hmm.score_documents(docs, F.col("doc_id") > 0, states=1, classes=classes, rounds=2).collect()}
+    key = {w: int(words_of(pa.array([w])).hashes()[0]) % (classes - 1) for w in words}
+    sizes = Counter(key.values())
+    emit = _trained([[key[w] for w in words] + [classes - 1]], 1, classes, 2)[2][0]
+    total = sum(10 ** rows[i + 1] / emit[-1] for i in range(40)) + sum(emit[k] / (2 * c + 1) for k, c in sizes.items())
+    assert total == pytest.approx(sum(emit[k] for k in sizes), rel=1e-4)
