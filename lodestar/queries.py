@@ -762,6 +762,20 @@ def json_diff(spark, sf_dir):
     return keyed.diff_tables(before, after, ["o_orderkey"]).select("o_orderkey", "change")
 
 
+@query("""SELECT n_nationkey, '{"added":' || n_nationkey || ',"copy":' || n_regionkey || ',"deep":{"list":[1,' || n_nationkey || ',3]},"moved":"' || n_name || '"}' AS doc FROM nation WHERE n_nationkey <> 7""")
+def json_patch_operations(spark, sf_dir):
+    """Every operation in one patch; where a test fails there is no document."""
+    n = t(spark, sf_dir, "nation")
+    inner = F.struct(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)).alias("list"))
+    doc = F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("key"), inner.alias("deep"), F.lit("old").alias("gone"), (F.col("n_nationkey") == 7).alias("odd")))
+    operations = [
+        {"op": "test", "path": "/odd", "value": False}, {"op": "remove", "path": "/odd"}, {"op": "move", "from": "/name", "path": "/moved"}, {"op": "copy", "from": "/region", "path": "/copy"},
+        {"op": "remove", "path": "/region"}, {"op": "replace", "path": "/gone", "value": "new"}, {"op": "remove", "path": "/gone"}, {"op": "remove", "path": "/deep/list/3"},
+        {"op": "copy", "from": "/key", "path": "/deep/list/1"}, {"op": "remove", "path": "/deep/list/2"}, {"op": "move", "from": "/key", "path": "/added"},
+    ]
+    return n.select("n_nationkey", documents.json_patch(doc, operations).alias("doc")).filter("doc IS NOT NULL")
+
+
 # -- streams as tables
 _LATEST = "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
 
@@ -980,6 +994,28 @@ def source_mongodb_find(spark, sf_dir):
     return external.mongodb_find_frame(t(spark, sf_dir, "part"), request)
 
 
+@query("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_type LIKE '%O%' ORDER BY p_size DESC, p_partkey LIMIT 25 OFFSET 5")
+def source_mongodb_sorted(spark, sf_dir):
+    """A request's own order, skip and limit."""
+    request = {
+        "filter": {"$and": [{"p_size": {"$gte": 10, "$lte": 20}}, {"p_type": {"$regex": "O"}}]},
+        "options": {"projection": {"p_partkey": 1, "p_size": 1}, "sort": {"p_size": -1, "p_partkey": 1}, "skip": 5, "limit": 25},
+    }
+    return external.mongodb_find_frame(t(spark, sf_dir, "part"), request)
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderpriority FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) AND o_orderkey < 1000000000 ORDER BY o_orderkey DESC LIMIT 3")
+def source_dynamodb_page(spark, sf_dir):
+    """A page of a key's rows, from the end, after a start key."""
+    orders = t(spark, sf_dir, "orders")
+    first = orders.agg(F.min("o_custkey")).first()[0]
+    request = {
+        "key_condition_expression": "o_custkey = :c", "expression_attribute_values": {":c": {"N": str(first)}}, "projection_expression": "o_custkey, o_orderkey, o_orderpriority",
+        "scan_index_forward": False, "exclusive_start_key": {"o_orderkey": {"N": "1000000000"}}, "limit": 3,
+    }
+    return external.dynamodb_query_frame(orders, request, "o_orderkey")
+
+
 @query("SELECT n_regionkey, count(*) AS scard, string_agg(n_name, ',' ORDER BY n_name) AS smembers, bool_or(n_name = 'FRANCE') AS sismember FROM nation GROUP BY 1")
 def source_redis_sets(spark, sf_dir):
     s = t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_set("n_name").alias("v"))

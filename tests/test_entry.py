@@ -1,4 +1,6 @@
 import importlib.util
+import shutil
+import subprocess
 import sys
 from pathlib import Path
 
@@ -22,3 +24,16 @@ def test_entry_without_the_optional_subpackage(monkeypatch):
     spec.loader.exec_module(module)
     names = module.queries()
     assert "rbac_allow" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
+
+
+def test_the_rest_without_the_optional_folders(tmp_path):
+    """In a copy without both folders and the pipeline, the entry has the engine's queries and every other test is found."""
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py", ".pytest_cache", "spark-warehouse"))
+    assert not (copy / "lodestar" / "llm").exists()
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'rbac_allow' in q and not [n for n in q if n.startswith('op') or n == 'pipeline']; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
+    found = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=copy, capture_output=True, text=True, timeout=120)
+    assert found.returncode == 0, found.stdout
+    quick = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_conditions.py"], cwd=copy, capture_output=True, text=True, timeout=300)
+    assert quick.returncode == 0, quick.stdout
