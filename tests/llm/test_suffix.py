@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from lodestar.llm import suffix
+from lodestar.llm import doubling, suffix
 
 
 def _brute(texts, length):
@@ -69,3 +69,21 @@ def test_passages_of_words(spark, seed, chunk):
     rows = {r.doc_id: (r.n_passage_words, r.n_removed) for r in suffix.remove_repeats(docs, length=128, passage=20, chunk_bytes=chunk).collect()}
     assert [rows[i][0] for i in range(len(texts))] == want and want[-1] == 20
     assert [rows[i][1] for i in range(len(texts))] == [r[1] for r in _brute(texts, 128)]
+
+
+@pytest.mark.parametrize("seed, length", [(7, 128), (8, 16), (9, 151)])
+def test_prefix_doubling_equals_brute_force(spark, seed, length):
+    texts = _texts(seed, max(length, 64)) + [None, "a" * (length - 1), "b" * length, "c" * (length + 1)]
+    docs = spark.createDataFrame([(i, t, -1) for i, t in enumerate(texts)], "doc_id long, text string, rank long")
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in doubling.remove_repeats(docs, length=length).collect()}
+    assert [rows[i] for i in range(len(texts))] == _brute(texts, length)
+
+
+def test_prefix_doubling_at_batch_cuts_null_ids_and_empty_table(spark, monkeypatch):
+    monkeypatch.setattr(doubling, "_STEP", 50)
+    text = " ".join(str(i) for i in range(200))
+    docs = spark.createDataFrame([(None, text), (4, text), (4, text), (5, "x"), (6, text[3:] + "!")], "doc_id long, text string")
+    rows = doubling.remove_repeats(docs, length=100).collect()
+    n = len(text)
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in rows) == [(0, n, n), (4, n, n), (4, n, n), (5, 1, 0), (6, n - 2, n - 3)]
+    assert doubling.remove_repeats(docs.limit(0), length=100).count() == 0
