@@ -9,7 +9,7 @@ and ``not`` holds for them. A comprehension over tables runs once for all rows,
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 from functools import reduce
 from typing import Any
@@ -71,7 +71,11 @@ TOTALS = {"count": (F.count, 0), "sum": (F.sum, 0), "product": (F.product, 1), "
 
 
 class Planner:
-    def __init__(self, modules: list[str | Module], tables: Mapping[str, Table | DataFrame]):
+    """``functions``: further functions over columns by name; a dotted path below ``data`` (``data.geo.near``) is called
+    by that path or through an import of it."""
+
+    def __init__(self, modules: list[str | Module], tables: Mapping[str, Table | DataFrame], functions: Mapping[str, Callable[..., Column]] | None = None):
+        self.functions = dict(functions or {})
         self.rules: dict[str, list[Rule]] = {}
         self.home: dict[int, Module] = {}
         for m in (parse_module(x) if isinstance(x, str) else x for x in modules):
@@ -337,6 +341,25 @@ class Planner:
             out = out[p.value] if isinstance(p, Const) and isinstance(p.value, str) else F.try_element_at(out, k)
         return step, out
 
+    def candidates(self, head: str, path: tuple) -> dict[str, list[Rule]]:
+        """Rules that ``data.<head>[k].<tail>`` may mean, by k: what is known when the plan is made."""
+        if not path or not all(isinstance(p, Const) for p in path[1:]):
+            return {}
+        before, after = (head + "." if head else ""), "".join(f".{p.value}" for p in path[1:])
+        found = {n[len(before) : len(n) - len(after)]: rules for n, rules in self.rules.items() if n.startswith(before) and n.endswith(after) and len(n) > len(before) + len(after)}
+        return {k: rules for k, rules in found.items() if "." not in k and rules[0].args is None}
+
+    def dispatched(self, candidates: dict[str, list[Rule]], key: Any, step: Step, r: Rule) -> tuple[Column, Step]:
+        """The rule that the key names for each row; undefined where it names none."""
+        name, step = self.term(key, step, r)
+        out = None
+        for k, rules in sorted(candidates.items()):
+            if any(x.kind != "complete" for x in rules):
+                raise FragmentError(f"{k}: only complete rules can be chosen by a key in a plan")
+            value = self.complete(rules, [], step)[0]
+            out = F.when(name == k, value) if out is None else out.when(name == k, value)
+        return out, step
+
     # -- terms
     def term(self, term: Any, step: Step, r: Rule) -> tuple[Column, Step]:
         if isinstance(term, Const):
@@ -354,6 +377,8 @@ class Planner:
                 return out, step
             elif isinstance(base, Var) and (found := self.full(term, r)) and found[0] in self.rules and not found[1]:
                 return self.complete(self.rules[found[0]], [], step)
+            elif found and (candidates := self.candidates(*found)):
+                return self.dispatched(candidates, found[1][0], step, r)
             else:
                 raise FragmentError(f"{base} has no value here")
             for p in path:
@@ -390,9 +415,13 @@ class Planner:
 
     def apply(self, term: Call, args: list[Column], step: Step, r: Rule) -> Column:
         module = self.home[id(r)]
-        own = ".".join((*module.package, term.name))
-        if own in self.rules:
-            return self.complete(self.rules[own], args, step)[0]
+        head, *rest = term.name.split(".")
+        path = ".".join((*module.imports.get(head, (head,)), *rest))
+        for name in (".".join((*module.package, term.name)), path.removeprefix("data.")):
+            if name in self.rules and self.rules[name][0].args is not None:
+                return self.complete(self.rules[name], args, step)[0]
+        if path in self.functions:
+            return self.functions[path](*args)
         if term.name == "internal.member_2":
             if isinstance(term.args[1], Collection) and all(isinstance(x, Const) for x in term.args[1].items):
                 return args[0].isin([x.value for x in term.args[1].items])

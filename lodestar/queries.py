@@ -13,6 +13,7 @@ from lodestar.plans import conditions, masks
 from lodestar.plans.evaluate import Engine, compile_filter
 from lodestar.plans.relational import Planner, Table
 from lodestar.sources import external
+from lodestar.sources.mounts import Mount, Mounts
 from lodestar.streaming import events as decision_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -975,6 +976,70 @@ def rbac_rule_text(spark, sf_dir):
     return planner.decide("duty.covered", requests, ["o_orderkey"], "allow").select("o_orderkey", "allow")
 
 
+# -- rules chosen by a key known only when a row is read, functions of another namespace
+_BY_SEGMENT = [
+    "package offers.building\n\nallow if input.c_acctbal > 1000\n\nrate := 3",
+    "package offers.machinery\n\ndefault allow := false\n\nallow if { input.c_acctbal < 0; input.c_nationkey % 2 == 1 }\n\nrate := 5 if input.c_nationkey > 10\n\nelse := 4",
+    "package offers.household\n\nallow if not input.c_nationkey == 7",
+    """package main
+
+import data.text
+
+open contains input.c_custkey if data.offers[text.low(input.c_mktsegment)].allow
+
+rates contains {"c_custkey": input.c_custkey, "rate": data.offers[s].rate} if s := text.low(input.c_mktsegment)
+""",
+]
+
+
+def _by_segment(spark, sf_dir, path: str) -> DataFrame:
+    return Planner(_BY_SEGMENT, {}, {"data.text.low": F.lower}).relation(f"main.{path}", t(spark, sf_dir, "customer"))
+
+
+@query(
+    "SELECT c_custkey AS value FROM customer WHERE (c_mktsegment = 'BUILDING' AND c_acctbal > 1000) OR (c_mktsegment = 'HOUSEHOLD' AND c_nationkey <> 7)"
+    " OR (c_mktsegment = 'MACHINERY' AND c_acctbal < 0 AND c_nationkey % 2 = 1)"
+)
+def rule_chosen_by_key(spark, sf_dir):
+    return _by_segment(spark, sf_dir, "open")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 3 WHEN c_nationkey > 10 THEN 5 ELSE 4 END AS rate FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def rule_value_chosen_by_key(spark, sf_dir):
+    return _by_segment(spark, sf_dir, "rates").filter("rate IS NOT NULL")
+
+
+# -- tables as documents below their keys
+def _store(spark, sf_dir) -> Mounts:
+    lines = Mount("market/lines", t(spark, sf_dir, "lineitem"), ("l_orderkey", "l_linenumber"), {"item/part": "l_partkey", "item/supplier": "l_suppkey", "price": "l_extendedprice", "flag": "l_returnflag"})
+    return Mounts([lines, Mount("market/nations", t(spark, sf_dir, "nation"), ("n_nationkey",))])
+
+
+@query("SELECT l_linenumber, l_partkey AS part, l_suppkey AS supplier, l_returnflag AS flag FROM lineitem WHERE l_orderkey = 7")
+def source_mount_below_key(spark, sf_dir):
+    """``market/lines/7``: every document below one order; the key is a filter of the scan."""
+    return _store(spark, sf_dir).read("market/lines/7").select("l_linenumber", "value.item.part", "value.item.supplier", "value.flag")
+
+
+@query("SELECT l_suppkey AS value FROM lineitem WHERE l_orderkey = 7 AND l_linenumber = 2")
+def source_mount_member(spark, sf_dir):
+    return _store(spark, sf_dir).read("market/lines/7/2/item/supplier")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey AS supplier, l_returnflag AS flag FROM lineitem")
+def source_mount_all(spark, sf_dir):
+    return _store(spark, sf_dir).read("market/lines").select("l_orderkey", "l_linenumber", "value.item.supplier", "value.flag")
+
+
+@query("SELECT n_nationkey, CASE n_nationkey WHEN 3 THEN 'ELSEWHERE' ELSE n_name END AS n_name, CASE n_nationkey WHEN 3 THEN -1 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey <> 5 UNION ALL SELECT 77, 'NOWHERE', 2")
+def source_mount_written(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    store.write("market/nations/3", {"n_name": "ELSEWHERE"})
+    store.write("market/nations/77", {"n_name": "NOWHERE", "n_regionkey": 2})
+    store.delete("market/nations/5")
+    return store.read("market/nations").select("n_nationkey", "value.n_name", F.coalesce("value.n_regionkey", F.lit(-1)).alias("n_regionkey"))
+
+
 # -- external stores over tables
 @query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey > 10")
 def source_sql_send(spark, sf_dir):
