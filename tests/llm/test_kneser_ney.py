@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lodestar.llm import kneser_ney as kn
@@ -125,3 +126,45 @@ def test_bigrams_that_occur_once_are_in_the_registered_model(spark, tmp_path):
         assert got[i].log10_prob == pytest.approx(_whole(train, t), rel=1e-5), t
     kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
     assert kept == {i for i, r in got.items() if r.keep}
+
+
+@pytest.mark.parametrize("vocabulary, full", [(0, False), (7, True)])
+def test_words_beyond_those_in_memory_are_in_the_model(spark, vocabulary, full, monkeypatch):
+    if full:  # bit arrays that let everything through: results do not depend on them
+        monkeypatch.setattr(kn, "_bloom", lambda table: kn.Bits(np.full(kn.BLOOM_BITS // 8, 255, np.uint8)))
+    docs, labels = _frames(spark)
+    half = {r.doc_id for r in kn._trusted(labels).filter(kn._train_half()).collect()}
+    train = [t for i, t, *_ in _corpus() if i in half]
+    got = {r.doc_id: r for r in kn.classify(docs, labels, vocabulary=vocabulary, min_count=1).collect()}
+    assert len(got) == len(_corpus())
+    for i, t, *_ in _corpus():
+        assert got[i].log10_prob == pytest.approx(_whole(train, t), rel=1e-9), t
+
+
+def test_numbers_of_words_have_no_gap(spark):
+    words = spark.range(-500, 500).selectExpr("id * 7919 AS h")
+    got = kn._numbered(words, 1000, 12, bucket=64).collect()
+    assert {r.word for r in got} == {i * 7919 for i in range(-500, 500)}
+    assert sorted(r.number for r in got) == list(range(12, 1012))
+
+
+def test_all_trusted_documents_train_or_set_the_threshold(spark):
+    """More than 20,000 documents train, and more set the threshold: none is left out, and its rank is exact."""
+    rng = random.Random(3)
+    words, weights = [f"w{i}" for i in range(60)], [1 / (1 + i) for i in range(60)]
+    rows = [(i, " ".join(rng.choices(words, weights, k=rng.randint(2, 12))), "en" if i % 5 else None) for i in range(46_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.range(46_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    half = {r.doc_id for r in kn._trusted(labels).filter(kn._train_half()).collect()}
+    assert 20_000 < len(half) < 26_000
+    train = [t for i, t, _ in rows if i in half]
+    got = {r.doc_id: r for r in kn.classify(docs, labels, min_count=1).collect()}
+    for i, t, _ in rows[:4]:
+        assert got[i].log10_prob == pytest.approx(_whole(train, t), rel=1e-9)
+    costs: dict = {}
+    for i, _, lang in rows:
+        if i not in half:
+            costs.setdefault((lang, max(got[i].n_tokens, 4).bit_length()), []).append(-got[i].log10_prob / got[i].n_tokens)
+    for i, _, lang in rows:
+        held = sorted(costs[lang, max(got[i].n_tokens, 4).bit_length()])
+        assert math.log10(got[i].threshold) == pytest.approx(held[math.ceil(0.99 * len(held)) - 1] * 1.05, rel=1e-12)
