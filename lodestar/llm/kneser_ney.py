@@ -13,7 +13,8 @@ pipeline keep every bigram.
 Scoring, over all documents and whole texts: with q = (c - D) / c(h), a word costs
 log(gamma(h) P(w)) + log(1 + q / (gamma(h) P(w))). The first part needs the tables of words only. The second is zero unless the bigram is in the model: those are joined to the sharded bigram table, once for each chunk
 and bigram (see ``chunks``); a bit array of fixed size keeps most other bigrams out of the join (it lets some through,
-never holds one back).
+never holds one back). Chunks are written once and meet the bigram table in ``ROUNDS`` rounds, each with its share of
+them: of what is shuffled, only one round's share is on disk at a time.
 
 Threshold: the exact ``quantile`` (the value of rank ceil(quantile * n)) of the cost per word of the other half of the trusted documents, for each language and
 length band (documents of 1-7, 8-15, 16-31 ... words), raised by ``margin``. Bands and languages with fewer than
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import chunks as ck
-from lodestar.llm.storage import columns, discard, materialize
+from lodestar.llm.storage import columns, discard, drop_shuffles, materialize
 from lodestar.llm.text import STEP, column, mix64, releasing, slices, texts_of, words_of
 
 UNKNOWN, EDGE = 0, 1  # numbers of the unknown word and of both ends of a text
 BLOOM_LOG = 26
 BLOOM_BITS = 1 << BLOOM_LOG  # sized for bigrams that occur once as well; results do not depend on it
+ROUNDS = 4  # of scoring; results do not depend on it
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -404,16 +407,10 @@ def score(docs: DataFrame, model: Model, table: DataFrame, chunk_bytes: int = 8
     text = F.col("text").cast("string")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), lang.alias("lang"), F.xxhash64(text).alias("text_hash"))
     ddl = "chunk long, n_docs long, n_hits long, doc_ids array<long>, hashes array<long>, lang array<string>, tokens binary, base binary, hits binary, codes binary, n_keys long, keys binary, words array<long>, n_open long, open binary, n_rest long, rest binary"
-    written = [materialize(source.mapInArrow(releasing(encode), ddl), "kn-chunks")]
-    chunked = written[0].drop("words", "n_open", "open")
-    if model.rest is not None:  # a chunk asks once for each of its open words
-        asking = written[0].filter("n_open > 0")
-        words = asking.select(F.col("chunk").alias("of"), F.explode("words").alias("word")).join(model.rest.hint("merge"), "word")
-        left = asking.select("chunk", "n_docs", "words", "n_open", "open").groupBy("chunk")
-        written.append(materialize(left.cogroup(words.groupBy("of")).applyInArrow(resolve, ddl), "kn-open"))
-        chunked = chunked.unionAll(written[1].drop("words", "n_open", "open"))
-        discard(model.rest)
-    shards = ck.shards_for(chunked)
+    chunks = materialize(source.mapInArrow(releasing(encode), ddl), "kn-chunks")
+    # open bigrams become keys of a round: no more of them than there are now
+    shards = ck.shards_for(chunks.select((F.col("n_keys") + F.col("n_open")).alias("n_keys")))
+    rounds = min(ROUNDS, shards)  # one where a shard holds all
     request = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,8 +422,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame, chunk_bytes: int = 8
                 out = [{"chunk": row["chunk"], "shard": s, "n": b - a, "keys": ck.pack(np.diff(pairs[order[a:b]], prepend=0))} for s, a, b in ck.runs(shard[order])]
                 yield pa.RecordBatch.from_pylist(out, schema=request)
 
-    asked = chunked.select("chunk", "n_keys", "keys").mapInArrow(releasing(ask), "chunk long, shard long, n long, keys binary")
-    held = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("pairs", pa.binary()), ("counts", pa.binary())])
+    shown = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("pairs", pa.binary()), ("counts", pa.binary())])
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The model's bigrams by shard, a million at a time, as steps between sorted ones."""
@@ -444,9 +440,10 @@ def score(docs: DataFrame, model: Model, table: DataFrame, chunk_bytes: int = 8
         shard = ck.shard_of(mix64(pairs), shards).astype(np.int64)
         order = np.lexsort((pairs, shard))
         pairs, n = pairs[order], n[order].astype(np.uint32)
-        return pa.RecordBatch.from_pylist([{"shard": s, "n": b - a, "pairs": ck.pack(np.diff(pairs[a:b], prepend=0)), "counts": ck.pack(n[a:b])} for s, a, b in ck.runs(shard[order])], schema=held)
+        return pa.RecordBatch.from_pylist([{"shard": s, "n": b - a, "pairs": ck.pack(np.diff(pairs[a:b], prepend=0)), "counts": ck.pack(n[a:b])} for s, a, b in ck.runs(shard[order])], schema=shown)
 
-    model_rows = table.mapInArrow(releasing(show), "shard long, n long, pairs binary, counts binary")
+    model_rows = materialize(table.mapInArrow(releasing(show), "shard long, n long, pairs binary, counts binary"), "kn-shards")
+    discard(table)
     answer = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("answer", pa.binary())])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -465,9 +462,6 @@ def score(docs: DataFrame, model: Model, table: DataFrame, chunk_bytes: int = 8
             out.append({"chunk": row["chunk"], "shard": row["shard"], "n": row["n"], "answer": ck.pack(value)})
         return pa.Table.from_pylist(out, schema=answer)
 
-    answers = asked.groupBy("shard").cogroup(model_rows.groupBy("shard")).applyInArrow(join, ck.ANSWER)
-    answers = materialize(answers, "kn-answers")
-    discard(table)  # the keys' shuffle goes before the chunks' begins
     result = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), ("n_tokens", pa.int64()), ("log10_prob", pa.float64())])
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -493,11 +487,32 @@ def score(docs: DataFrame, model: Model, table: DataFrame, chunk_bytes: int = 8
         columns = [pa.array(own["doc_ids"], pa.int64()), pa.array(own["hashes"], pa.int64()), pa.array(own["lang"], pa.string()), pa.array(ck.unpack(own["tokens"], np.int64, own["n_docs"])), pa.array(total)]
         return pa.table(columns, schema=result)
 
-    home = lambda df: df.withColumn("home", F.shiftright("chunk", 1)).groupBy("home")  # noqa: E731  # both rows of a chunk
-    scored = home(chunked).cogroup(home(answers)).applyInArrow(add, "doc_id long, text_hash long, lang string, n_tokens long, log10_prob double")
-    scored = materialize(scored, "kn-scores")
-    discard(*written, answers)
-    return scored
+    number = F.shiftright("chunk", 1)  # the same for both rows of a chunk
+    home = lambda df: df.withColumn("home", number).groupBy("home")
+    turn = F.pmod(F.shiftright(number, 32) + number.bitwiseAND((1 << 32) - 1), F.lit(rounds))  # each task's chunks in turn
+
+    def scored(mine: DataFrame) -> DataFrame:
+        """The written scores of these chunks."""
+        chunked, opened = mine.drop("words", "n_open", "open"), None
+        if model.rest is not None:  # a chunk asks once for each of its open words
+            asking = mine.filter("n_open > 0")
+            words = asking.select(F.col("chunk").alias("of"), F.explode("words").alias("word")).join(model.rest.hint("merge"), "word")
+            left = asking.select("chunk", "n_docs", "words", "n_open", "open").groupBy("chunk")
+            opened = materialize(left.cogroup(words.groupBy("of")).applyInArrow(resolve, ddl), "kn-open")
+            drop_shuffles(mine.sparkSession)
+            chunked = chunked.unionAll(opened.drop("words", "n_open", "open"))
+        asked = chunked.select("chunk", "n_keys", "keys").mapInArrow(releasing(ask), "chunk long, shard long, n long, keys binary")
+        answers = asked.groupBy("shard").cogroup(model_rows.groupBy("shard")).applyInArrow(join, ck.ANSWER)
+        answers = materialize(answers, "kn-answers")
+        drop_shuffles(mine.sparkSession)  # the keys' shuffle goes before the chunks' begins
+        scores = home(chunked).cogroup(home(answers)).applyInArrow(add, "doc_id long, text_hash long, lang string, n_tokens long, log10_prob double")
+        scores = materialize(scores, "kn-scores")
+        discard(opened, answers)
+        return scores
+
+    parts = [scored(chunks.filter(turn == r)) for r in range(rounds)]
+    discard(chunks, model_rows, model.rest)
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _quantiles(rows: DataFrame, keys: list[str], quantile: float) -> DataFrame:

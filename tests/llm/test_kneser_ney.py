@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -168,3 +169,40 @@ def test_all_trusted_documents_train_or_set_the_threshold(spark):
     for i, _, lang in rows:
         held = sorted(costs[lang, max(got[i].n_tokens, 4).bit_length()])
         assert math.log10(got[i].threshold) == pytest.approx(held[math.ceil(0.99 * len(held)) - 1] * 1.05, rel=1e-12)
+
+
+def _shuffled(spark) -> dict[int, int]:
+    """The bytes that each stage so far has put into a shuffle."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = context.statusStore().stageList(None, False, False, quantiles, spark._jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_chunks_are_not_shuffled_all_at_once(spark, monkeypatch):
+    """Scoring goes in rounds: no shuffle is near the size of the chunks; each row has its score once, as in one round."""
+    rng = random.Random(4)
+    words, weights = [f"w{i}" for i in range(800)], [1 / (1 + i) for i in range(800)]
+    rows = [(i if i % 50 else None, " ".join(rng.choices(words, weights, k=rng.randint(1, 160)) + [f"u{i}"] * (i % 40 == 1)), "en") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.range(3000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    whole = {(r.doc_id, r.text_hash): r.log10_prob for r in kn.classify(docs, labels, vocabulary=50, min_count=1).collect()}
+    written, write = {}, kn.materialize
+
+    def recorded(df, label):
+        out = write(df, label)
+        written[label] = sum(f.stat().st_size for f in Path(out._lodestar_path.removeprefix("file:")).glob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(kn, "materialize", recorded)
+    monkeypatch.setattr(kn.ck, "SHARD_KEYS", 10_000)
+    model, table = kn.train(docs, labels, vocabulary=50, min_count=1)
+    before = _shuffled(spark)
+    got = kn.score(docs, model, table, chunk_bytes=1 << 15).collect()
+    assert max(n for stage, n in _shuffled(spark).items() if stage not in before) < 0.5 * written["kn-chunks"]
+    assert len(got) == len(rows) and {(r.doc_id, r.text_hash): pytest.approx(r.log10_prob, rel=1e-12) for r in got} == whole
+    half = {r.doc_id for r in kn._trusted(labels).filter(kn._train_half()).collect()}
+    train, by_id = [t for i, t, _ in rows if i in half], {r.doc_id: r.log10_prob for r in got}
+    for i, t, _ in rows[1:4]:
+        assert by_id[i] == pytest.approx(_whole(train, t), rel=1e-9)
