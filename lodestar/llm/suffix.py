@@ -30,57 +30,92 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import chunks as ck
 from lodestar.llm.storage import discard, materialize
-from lodestar.llm.text import MIX1, STEP, column, mix64, releasing, slices, texts_of, words_of
+from lodestar.llm.text import MIX1, STEP, column, mix64, releasing, slices, texts_of
 
 GRAM, WORD_GRAM = 32, 8
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+_BLOCK = 1 << 14  # values that stay in a core's cache while they are named
+_DENSE = 16  # from one place in so many on, names are made for all places
+_LONG_WORD = 64
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
 
 
-def doubled(h: np.ndarray, m: int) -> np.ndarray:
-    """Names of 2m bytes from names of m bytes; the last m positions have none."""
-    out = h[:-m] * STEP
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Names of pairs of names."""
+    out = left * STEP
     out ^= out >> np.uint64(29)
-    out += h[m:]
+    out += right
     out *= MIX1
     out ^= out >> np.uint64(32)
     return out
 
 
+def doubled(h: np.ndarray, m: int) -> np.ndarray:
+    """Names of 2m bytes from names of m bytes; the last m positions have none."""
+    out = np.empty(len(h) - m, np.uint64)
+    for a in range(0, len(out), _BLOCK):
+        b = min(a + _BLOCK, len(out))
+        out[a:b] = joined(h[a:b], h[a + m : b + m])
+    return out
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """A name for the 8 bytes at each position: different bytes, different names; the last 7 positions have none."""
+    raw = np.ndarray(max(0, len(data) - 7), "<u8", np.ascontiguousarray(data), 0, (1,))
+    out = np.empty(len(raw), np.uint64)
+    for a in range(0, len(out), _BLOCK):
+        out[a : a + _BLOCK] = mix64(raw[a : a + _BLOCK])
+    return out
+
+
 class Names:
-    """Names of every position of an array of bytes or word hashes at powers of 2 from ``gram`` on, and of chosen
-    positions at any longer length."""
+    """Names of every position of an array of bytes or word hashes at ``gram`` (a power of 2, 8 bytes at least), and of
+    chosen positions at any longer length: made for these positions only, or for all where they are many."""
 
-    def __init__(self, data: np.ndarray, longest: int, gram: int):
-        self.level, h, m = {}, _BYTE[data] if data.dtype == np.uint8 else mix64(data), 1
-        while m * 2 <= longest and len(h) > m:
+    def __init__(self, data: np.ndarray, gram: int):
+        h, m = (eights(data), 8) if data.dtype == np.uint8 else (mix64(data), 1)
+        while m < gram and len(h) > m:
             h, m = doubled(h, m), 2 * m
-            if m >= gram:
-                self.level[m] = h
+        self.level = {m: h}
+
+    def _named(self, positions: np.ndarray, m: int) -> np.ndarray:
+        if m in self.level:
+            return self.level[m][positions]
+        return joined(self._named(positions, m // 2), self._named(positions + m // 2, m // 2))
 
     def at(self, positions: np.ndarray, length: int) -> np.ndarray:
         """The pair of names that overlap in the middle covers any length between two powers of 2."""
         m = 1 << (length.bit_length() - 1)
         if not len(positions):
             return np.zeros(0, np.uint64)
-        return mix64(self.level[m][positions] * STEP + self.level[m][positions + length - m] + np.uint64(length))
+        top = max(self.level)
+        while top < m and len(positions) * _DENSE > len(self.level[top]):
+            self.level[2 * top] = doubled(self.level[top], top)
+            top *= 2
+        return mix64(self._named(positions, m) * STEP + self._named(positions + (length - m), m) + np.uint64(length))
 
 
 def window_minima(h: np.ndarray, window: int) -> np.ndarray:
     """For each start the place of the smallest name in [start, start + window); the first place in a tie."""
     n = len(h)
-    padded = np.full(-(-(n + window) // window) * window, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[:n] = (h >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
-    rows = padded.reshape(-1, window)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    low = np.minimum(back[:n], ahead[window - 1 : window - 1 + n])
-    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    out = np.empty(n, np.uint32)
+    for a in range(0, n, _BLOCK):
+        b = min(a + _BLOCK, n)
+        last = min(b + window - 1, n)
+        low = np.full(b - a + window - 1, np.uint64(0xFFFFFFFFFFFFFFFF))
+        low[: last - a] = (h[a:last] & np.uint64(0xFFFFFFFF00000000)) | np.arange(a, last, dtype=np.uint64)
+        m = 1
+        while 2 * m <= window:
+            low = np.minimum(low[:-m], low[m:])
+            m *= 2
+        out[a:b] = np.minimum(low[: b - a], low[window - m :][: b - a]).astype(np.uint32)
+    return out
 
 
 def segments(data: np.ndarray, sizes: np.ndarray, length: int, window: int, gram: int) -> tuple[Names, np.ndarray, np.ndarray, np.ndarray]:
     """(names, tests, places, first): the last start of each segment (and each document's first start), with its
     p(start); ``first`` marks a document's first start. Starts are those with ``length`` units of their document left."""
-    names = Names(data, length, gram)
+    names = Names(data, gram)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     if not (sizes >= length).any():
@@ -97,7 +132,17 @@ def segments(data: np.ndarray, sizes: np.ndarray, length: int, window: int, gram
     first = np.zeros(len(p), bool)
     first[starts[long]] = True
     tests = np.flatnonzero(valid & (changes | ~after | first))
-    return names, tests, p[tests], first[tests]
+    return names, tests, p[tests].astype(np.int64), first[tests]
+
+
+def regions(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(units, shift): what strings of ``length`` that start in the ranges [lo, hi] cover, put end to end, and for each
+    range how far its starts move. The ranges are in order and disjoint."""
+    end = hi + length
+    fresh = np.append(True, lo[1:] > end[:-1])
+    a, b = lo[fresh], end[np.append(fresh[1:], True)]
+    shift = a - (np.cumsum(b - a) - (b - a))
+    return np.concatenate([data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]), shift[np.cumsum(fresh) - 1]
 
 
 def by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, list[int]]:
@@ -229,23 +274,56 @@ def _text(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), ck.unpack(row["sizes"], np.int64, row["n_docs"])
 
 
+def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of each word in texts that begin at ``starts``; a word is a run of bytes outside ``\\x20\\x09-\\x0D``."""
+    inside = ~_SPACE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[starts] = True
+    cut[-1] = True
+    begin, end = cut[:-1].copy(), cut[1:].copy()
+    begin[1:] |= ~inside[:-1]
+    end[:-1] |= ~inside[1:]
+    return np.flatnonzero(inside & begin), np.flatnonzero(inside & end) + 1
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[begin:end], by its bytes, eight at a time."""
+    eight = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), 0, (1,))
+    size = end - begin
+    out = size.astype(np.uint64)
+    todo = np.flatnonzero(size <= _LONG_WORD)
+    for k in range(0, _LONG_WORD, 8):
+        left = size[todo] - k
+        beyond = 8 * (8 - np.minimum(left, 8)).astype(np.uint64)
+        out[todo] = mix64(out[todo] * STEP + (eight[begin[todo] + k] << beyond))
+        todo = todo[left > 8]
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def _words(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """A chunk's words (A-Z lower-cased) as hashes, and how many each document has."""
     data, sizes = _text(row)
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
-    texts = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
-    w = words_of(texts)
-    return w.hashes()[w.codes], np.diff(w.offsets)
+    ends = np.cumsum(sizes)
+    begin, end = word_bounds(data, ends - sizes)
+    return word_hashes(_LOWER[data], begin, end), np.diff(np.searchsorted(begin, ends), prepend=0)
+
+
+def _word_counts(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    return np.diff(np.searchsorted(word_bounds(data, ends - sizes)[0], ends), prepend=0)
 
 
 def covered(hits: list[dict], size: int, length: int) -> np.ndarray:
     """Which of ``size`` units some string of ``length`` units covers that starts at a place found."""
-    edge = np.zeros(size + 1, np.int32)
+    out = np.zeros(size, bool)
     for r in hits:
         at = np.cumsum(ck.unpack(r["found"], np.int64, r["m"]))
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + length, -1)
-    return np.cumsum(edge[:-1]) > 0
+        breaks = np.flatnonzero(at[1:] > at[:-1] + length)
+        for a, b in zip(at[np.append(0, breaks + 1)].tolist(), at[np.append(breaks, len(at) - 1)].tolist(), strict=True):
+            out[a : b + length] = True
+    return out
 
 
 def _rows(schema: pa.Schema, rows: list[dict]) -> pa.Table:
@@ -370,8 +448,8 @@ def repeated_starts(texts: DataFrame, read: Read, length: int, half: int, gram:
             lo = np.cumsum(ck.unpack(r["lo"], np.int64, r["n"]))
             size = ck.unpack(r["hi"], np.int64, r["n"]) + 1
             starts = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            data, _ = read(row)
-            keys = Names(data, length, gram).at(starts, length)
+            units, shift = regions(read(row)[0], lo, lo + size - 1, length)
+            keys = Names(units, gram).at(starts - np.repeat(shift, size), length)
             out.append({"chunk": row["chunk"], "n": len(starts), "starts": ck.pack(np.diff(starts, prepend=0)), "keys": keys.tobytes()})
         return _rows(counted, out)
 
@@ -434,7 +512,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 0, chunk_b
             ends = np.cumsum(sizes)
             extra: list[dict] = [{}] * len(sizes)
             if passage:
-                words = _words(row)[1] if any(r["unit"] == "word" for r in hits) else np.zeros(len(sizes), np.int64)
+                words = _word_counts(data, sizes) if any(r["unit"] == "word" for r in hits) else np.zeros(len(sizes), np.int64)
                 inside = np.append(0, np.cumsum(covered([r for r in hits if r["unit"] == "word"], int(words.sum()), passage)))
                 last = np.cumsum(words)
                 extra = [{"n_passage_words": n} for n in (inside[last] - inside[last - words]).tolist()]

@@ -1,9 +1,13 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from lodestar.llm import chunks as ck
 from lodestar.llm import doubling, suffix
 
 
@@ -87,3 +91,45 @@ def test_prefix_doubling_at_batch_cuts_null_ids_and_empty_table(spark, monkeypat
     n = len(text)
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in rows) == [(0, n, n), (4, n, n), (4, n, n), (5, 1, 0), (6, n - 2, n - 3)]
     assert doubling.remove_repeats(docs.limit(0), length=100).count() == 0
+
+
+def test_long_names_are_made_at_chosen_places_only(monkeypatch):
+    """Sampling a chunk doubles names up to GRAM for all positions; longer ones are made where a test needs them."""
+    made, doubled = [], suffix.doubled
+    monkeypatch.setattr(suffix, "doubled", lambda h, m: made.append(len(h)) or doubled(h, m))
+    data = np.random.default_rng(1).integers(97, 123, 50_000).astype(np.uint8)
+    names, tests, places, _ = suffix.segments(data, np.array([30_000, 20_000]), 400, 169, suffix.GRAM)
+    half, full = names.at(places, 200), names.at(tests, 400)
+    assert sum(made) <= 2 * len(data)
+    everywhere = np.arange(len(data) - 399)
+    assert (names.at(everywhere, 400)[tests] == full).all()
+    assert (names.at(np.arange(len(data) - 199), 200)[places] == half).all()
+
+
+@pytest.mark.parametrize("window", [2, 7, 64, 169])
+def test_window_minima_across_blocks(monkeypatch, window):
+    monkeypatch.setattr(suffix, "_BLOCK", 50)
+    h = np.random.default_rng(2).integers(0, 5, 333).astype(np.uint64) << np.uint64(40)
+    assert suffix.window_minima(h, window).tolist() == [i + int(np.argmin(h[i : i + window])) for i in range(len(h))]
+
+
+def test_names_of_regions_equal_names_in_place():
+    data = np.random.default_rng(3).integers(0, 256, 3000).astype(np.uint8)
+    lo, hi = np.array([0, 40, 500, 900, 2500]), np.array([10, 60, 500, 1000, 2600])
+    units, shift = suffix.regions(data, lo, hi, 400)
+    assert len(units) == 460 + 900 + 500
+    for a, b, s in zip(lo.tolist(), hi.tolist(), shift.tolist(), strict=True):
+        starts = np.arange(a, b + 1)
+        assert (suffix.Names(units, suffix.GRAM).at(starts - s, 400) == suffix.Names(data, suffix.GRAM).at(starts, 400)).all()
+
+
+def test_words_of_odd_texts():
+    texts = ["", "A b\tB", "a", "a", " \x0b\x0c\r\n", "\x00 \x1f\u00a0 \x85", "Über über ÜBER", "x" * 8 + " " + "x" * 9, "q" * 64 + " " + "Q" * 65 + " " + "q" * 200, "ab\x00 ab", "end ", ""]
+    data = "".join(texts).encode()
+    row = {"n_docs": len(texts), "sizes": ck.pack(np.array([len(t.encode()) for t in texts])), "size": len(data), "blob": pa.compress(data, codec="zstd", asbytes=True)}
+    want = [re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) for t in texts]
+    hashes, counts = suffix._words(row)
+    assert counts.tolist() == [len(w) for w in want]
+    assert suffix._word_counts(*suffix._text(row)).tolist() == counts.tolist()
+    words = [x for w in want for x in w]
+    assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
