@@ -656,7 +656,8 @@ sets contains {"c": c.c_custkey, "either": xs | ys, "both": xs & ys} if {
 
 
 def _calls(spark, sf_dir, path: str) -> DataFrame:
-    stamps = t(spark, sf_dir, "events").select("event_id", (F.lit(1_600_000_000_000_000_000).cast("long") + F.col("event_id") * 86_399_123_456_789).alias("ns"))
+    ns = F.lit(1_600_000_000_000_000_000).cast("decimal(19,0)") + F.col("event_id").cast("decimal(19,0)") * F.lit(86_399_123_456_789).cast("decimal(14,0)")
+    stamps = t(spark, sf_dir, "events").select("event_id", ns.alias("ns"))  # from event 88,235 on beyond 64 bits
     docs = t(spark, sf_dir, "part").select("p_partkey", F.try_parse_json(F.get(F.array(*map(F.lit, ['"x"', "1.5", "[1]", '{"a": 1}', "null", "true"])), (F.col("p_partkey") % 6).cast("int"))).alias("v"))
     tables = {"part": Table(t(spark, sf_dir, "part"), "p_partkey"), "customer": Table(t(spark, sf_dir, "customer"), "c_custkey"), "stamps": Table(stamps, "event_id"), "docs": Table(docs, "p_partkey")}
     return Planner([_CALLS], tables).relation(f"calls.{path}")
