@@ -1,10 +1,16 @@
 """Queries over keys, values and sizes that the small tables don't have equal their SQL."""
 
+import math
+import operator
+import random
 from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pytest
 
+from lodestar.plans import relational
+from lodestar.plans.relational import Planner, Table
 from lodestar.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -37,3 +43,55 @@ def test_times_beyond_64_bits(spark, tmp_path):
     """Nanoseconds of the event ids of larger tables: beyond the year 2262 (id 88,234) and beyond 9999."""
     folder = tables(tmp_path, events="SELECT * REPLACE ([0, 88234, 88235, 99999, 6000000, 36000000][event_id + 1] AS event_id) FROM events WHERE event_id < 6")
     assert len(agrees(spark, "fn_times", folder)) == 6
+
+
+PAIRS = """
+package pairs
+
+found contains {"a": x.k, "b": y.k} if {
+    some x in data.left
+    x.use
+    some y in data.right
+    z := y.v
+    z OP x.v
+}
+"""
+
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_compared_tables_and_their_totals(spark, op, monkeypatch):
+    """Ties, NULL, NaN, equal keys with several values, keys that are NULL, in one range and in many."""
+    compare = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}[op]
+    rng = random.Random(7)
+    rows = lambda n: [(rng.choice([None, *range(12)]), rng.choice([None, math.nan, math.inf, -0.0, 0.0, *[i / 2 for i in range(-9, 9)]]), rng.random() < 0.8) for _ in range(n)]
+    left, right = rows(40), rows(30)
+    as_key = lambda v: (math.isnan(v), 0.0 if math.isnan(v) else v)
+    want = {(a, b) for a, x, use in left for b, y, _ in right if use and None not in (x, y) and compare(as_key(y), as_key(x))}
+    frame = lambda rows: Table(spark.createDataFrame(rows, "k int, v double, use boolean"))
+    planner = Planner([PAIRS.replace("OP", op)], {"left": frame(left), "right": frame(right)})
+    found = planner.relation("pairs.found")
+    assert Counter(map(tuple, found.collect())) == Counter(want)
+    for by, other in (("a", "b"), ("b", "a")):
+        groups: dict = {}
+        for a, b in want:
+            groups.setdefault(a if by == "a" else b, []).append(b if by == "a" else a)
+        totals = {k: (len(v), min((x for x in v if x is not None), default=None), max((x for x in v if x is not None), default=None)) for k, v in groups.items()}
+        for values in (2, 50_000):
+            monkeypatch.setattr(relational, "RANGE_VALUES", values)
+            df = planner.totals("pairs.found", [by], n=("count", "*"), first=("min", other), last=("max", other))
+            assert sorted(((r[0], tuple(r)[1:]) for r in df.collect()), key=str) == sorted(totals.items(), key=str)
+            assert "NestedLoop" not in plan(df) and "Cartesian" not in plan(df)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_totals_of_an_inequality_build_no_pairs(spark):
+    assert "NestedLoop" not in (text := plan(QUERIES["rule_theta_join_all"](spark, DATA))) and "Cartesian" not in text
+
+
+def test_empty_tables_compare_with_nothing(spark, tmp_path):
+    folder = tables(tmp_path, supplier="SELECT * FROM supplier WHERE FALSE")
+    for name in ("rule_theta_join", "rule_theta_join_all"):
+        assert QUERIES[name](spark, folder).count() == 0
