@@ -91,6 +91,15 @@ def test_totals_of_an_inequality_build_no_pairs(spark):
     assert "NestedLoop" not in (text := plan(QUERIES["rule_theta_join_all"](spark, DATA))) and "Cartesian" not in text
 
 
+def test_pairs_are_not_shuffled_and_made_in_many_tasks(spark):
+    """Nothing is above the nested loop, which runs in many tasks though its tables are small files."""
+    df = QUERIES["rule_theta_join"](spark, DATA)
+    text = plan(df)
+    above = text.split("NestedLoop")[0]
+    assert "Aggregate" not in above and "Exchange" not in above and df.rdd.getNumPartitions() >= relational.PAIR_TASKS
+    agrees(spark, "rule_theta_join", DATA)
+
+
 def test_empty_tables_compare_with_nothing(spark, tmp_path):
     folder = tables(tmp_path, supplier="SELECT * FROM supplier WHERE FALSE")
     for name in ("rule_theta_join", "rule_theta_join_all"):
