@@ -1,5 +1,6 @@
 """Queries over keys, values and sizes that the small tables don't have equal their SQL."""
 
+import json
 import math
 import operator
 import random
@@ -8,7 +9,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lodestar.functions import documents
+from lodestar.functions.values import type_name, walk
 from lodestar.plans import relational
 from lodestar.plans.relational import Planner, Table
 from lodestar.queries import ORACLES, QUERIES
@@ -104,3 +108,32 @@ def test_empty_tables_compare_with_nothing(spark, tmp_path):
     folder = tables(tmp_path, supplier="SELECT * FROM supplier WHERE FALSE")
     for name in ("rule_theta_join", "rule_theta_join_all"):
         assert QUERIES[name](spark, folder).count() == 0
+
+
+def test_walk_of_odd_documents(spark):
+    """Nodes in pre-order as a plain walk gives them; nothing for null and bad documents, whose rows stay."""
+    texts = [
+        None, "", "{", "nothing", "3", "null", '"x"', "{}", "[]", "[[], {}]", '{"a": 1, "a": [true, false, null]}', '{"a~b/c": {"": {"é": "ü\\n\\"q\\""}}}', "[1.0, -0.0, 1e400, NaN, 12345678901234567890]",
+        '{"b": {"z": 1, "a": [1, {"x": "y"}]}, "a": 0}', "[" * 300 + "7" + "]" * 300,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r for r in df.select("id", documents.walked(F.col("text")).alias("all"), documents.walked(F.col("text"), leaves=True).alias("leaves")).collect()}
+    for i, text in enumerate(texts):
+        try:
+            doc = json.loads(text or "")
+        except ValueError:
+            assert got[i]["all"] is None and got[i]["leaves"] is None
+            continue
+        want = [(documents.format_pointer(p), json.dumps(v, separators=(",", ":"), sort_keys=True, ensure_ascii=False), type_name(v)) for p, v in walk(doc)]
+        assert list(map(tuple, got[i]["all"])) == want
+        assert list(map(tuple, got[i]["leaves"])) == [x for x in want if x[2] not in ("object", "array")]
+    half = spark.range(1).select(F.inline(documents.walked(F.lit('["\\ud800", "b"]'), leaves=True))).collect()
+    assert [r.value for r in half] == ['"?"', '"b"']
+
+
+@pytest.mark.parametrize("name", ["fn_walk_leaves", "fn_walk_nested_leaves"])
+def test_walks_go_by_batches(spark, name):
+    """Documents travel in Arrow batches, and no table that grows is broadcast."""
+    text = plan(QUERIES[name](spark, DATA))
+    assert "ArrowEvalPython" in text and "Broadcast" not in text and "UDTF" not in text
+    agrees(spark, name, DATA)
